@@ -1,0 +1,19 @@
+"""Size checks taken from Catalyst's own statistics, so that no job runs to answer them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+# A log whose planned size is below this can be windowed per key without splitting the key:
+# even if one key holds every row, its sort fits an executor (and spills if it does not).
+PLAIN_BYTES = 256 << 20
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """Catalyst's upper estimate of the output size (file sizes scaled by the pruned schema)."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    return int(stats.sizeInBytes().toString())
+
+
+def fits(df: DataFrame, limit: int = PLAIN_BYTES) -> bool:
+    return planned_bytes(df) <= limit
