@@ -3,11 +3,9 @@
 from radiolens.catalog.base import CHECKS, Check, Tables
 from radiolens.catalog import (  # noqa: F401  (importing registers)
     cleaning,
-
-
-
-
-
+    joins,
+    windows,
+    aggregates,
 )
 
 __all__ = ["CHECKS", "Check", "Tables"]

@@ -148,40 +148,35 @@ def running_total(df: DataFrame, order: LogOrder, totals: dict[str, str]) -> Dat
 
 
 def carry(df: DataFrame, order: LogOrder, column: str, out: dict[str, bool]) -> DataFrame:
-    """Nearest non-null ``column`` at or before the row (``True``) or at or after it (``False``)."""
-    past = (Window.unboundedPreceding, Window.currentRow)
-    ahead = (Window.currentRow, Window.unboundedFollowing)
+    """Nearest non-null ``column`` at or before the row (``True``) or at or after it (``False``).
 
-    def nearest(back: bool) -> Column:
-        return F.last(column, ignorenulls=True) if back else F.first(column, ignorenulls=True)
+    Looking ahead is a look back in reversed order: a frame that ends at the last row would be
+    evaluated again for every row.
+    """
 
-    if not order.splits(df):
-        spec = order.window()
-        return df.withColumns(
-            {o: nearest(b).over(spec.rowsBetween(*(past if b else ahead))) for o, b in out.items()}
+    def seen(keys: list[str], by: list[str], back: bool, upto: int) -> Column:
+        spec = Window.partitionBy(*keys).orderBy(*[F.asc(c) if back else F.desc(c) for c in by])
+        return F.last(column, ignorenulls=True).over(
+            spec.rowsBetween(Window.unboundedPreceding, upto)
         )
+
+    if not order.splits(df):
+        keys, by = list(order.keys), list(order.by)
+        return df.withColumns({o: seen(keys, by, b, 0) for o, b in out.items()})
     names = [*order.keys, CHUNK]
     chunked = index_log(df, order).withColumn(CHUNK, F.floor(F.col(INDEX) / order.chunk_rows))
-    seen = F.when(F.col(column).isNotNull(), F.col(INDEX))
-    edges = chunked.groupBy(*names).agg(
-        F.max_by(column, seen).alias("_last"), F.min_by(column, seen).alias("_first")
-    )
-    across = Window.partitionBy(*order.keys).orderBy(CHUNK)
-    outside = edges.select(
-        *names,
-        F.last("_last", ignorenulls=True)
-        .over(across.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_before"),
-        F.first("_first", ignorenulls=True)
-        .over(across.rowsBetween(1, Window.unboundedFollowing))
-        .alias("_after"),
-    )
-    spec = Window.partitionBy(*names).orderBy(INDEX)
-    local = chunked.withColumns(
-        {o: nearest(b).over(spec.rowsBetween(*(past if b else ahead))) for o, b in out.items()}
-    )
+    known = F.when(F.col(column).isNotNull(), F.col(INDEX))
+    outside = None
+    for back in sorted(set(out.values())):
+        edge = F.max_by(column, known) if back else F.min_by(column, known)
+        edges = chunked.groupBy(*names).agg(edge.alias(column))
+        edges = edges.select(
+            *names, seen(list(order.keys), [CHUNK], back, -1).alias(f"_out_{int(back)}")
+        )
+        outside = edges if outside is None else _match(outside, edges, names, "inner")
+    local = chunked.withColumns({o: seen(names, [INDEX], b, 0) for o, b in out.items()})
     joined = _match(local, outside, names, "inner")
     filled = joined.withColumns(
-        {o: F.coalesce(F.col(o), F.col("_before" if b else "_after")) for o, b in out.items()}
+        {o: F.coalesce(F.col(o), F.col(f"_out_{int(b)}")) for o, b in out.items()}
     )
-    return _drop_index(filled.drop(CHUNK, "_before", "_after"), df)
+    return _drop_index(filled.drop(CHUNK, "_out_0", "_out_1"), df)

@@ -12,7 +12,7 @@ PLAIN_BYTES = 256 << 20
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's upper estimate of the output size (file sizes scaled by the pruned schema)."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def fits(df: DataFrame, limit: int = PLAIN_BYTES) -> bool:

@@ -29,15 +29,17 @@ def plain(value):
         return "[" + ",".join(repr(plain(v)) for v in value) + "]"
     if isinstance(value, dict):
         return "{" + ",".join(f"{k}={plain(v)!r}" for k, v in value.items()) + "}"
-    if isinstance(value, float) or type(value).__name__ == "Decimal":
-        return float(value)
-    return value
+    if isinstance(value, (str, int)):
+        return value
+    if isinstance(value, float):
+        return value + 0.0  # -0.0 counts as 0.0
+    return f"{type(value).__name__}:{value}"
 
 
 def normal(rows, names):
     order = sorted(range(len(names)), key=lambda i: names[i])
     out = [tuple(plain(r[i]) for i in order) for r in rows]
-    return sorted(out, key=lambda t: tuple((v is None, str(type(v)), str(v)) for v in t))
+    return sorted(out, key=repr)
 
 
 def main() -> int:
@@ -80,12 +82,12 @@ def main() -> int:
             print(f"FAIL  {name}: columns {sorted(frame.columns)} / {sorted(names)}", flush=True)
             continue
         got, want = normal(rows, frame.columns), normal(want, names)
-        if got == want:
+        if list(map(repr, got)) == list(map(repr, want)):
             note = "  EMPTY" if not got else ""
             print(f"ok    {name}: {len(got)} rows {spent:.1f}s (sql {took:.1f}s){note}", flush=True)
             continue
         bad += 1
-        diff = [(a, b) for a, b in zip(got, want) if a != b][:2]
+        diff = [(a, b) for a, b in zip(got, want) if repr(a) != repr(b)][:2]
         print(f"FAIL  {name}: {len(got)}/{len(want)} rows {sorted(names)} {diff}", flush=True)
     print("bad:", bad)
     return bad
