@@ -6,6 +6,7 @@ from radiolens.catalog import (  # noqa: F401  (importing registers)
     joins,
     windows,
     aggregates,
+    metrics,
 )
 
 __all__ = ["CHECKS", "Check", "Tables"]

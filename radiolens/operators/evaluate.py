@@ -126,7 +126,7 @@ def roc_auc(preds: DataFrame, by: Sequence[str] = (), plan: str = "auto") -> Dat
     """Area under the ROC curve, ties counted half; NULL where only one class occurs."""
     ranked, keys = _score_counts(preds, by, plan)
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    pairs = F.sum("pos") * F.sum("neg")
+    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return ranked.groupBy(*keys).agg(
         F.try_divide(area.cast("double"), F.nullif(pairs.cast("double"), F.lit(0.0))).alias("roc_auc")
     ).drop("_all")
