@@ -2,11 +2,15 @@
 
 from radiolens.catalog.base import CHECKS, Check, Tables
 from radiolens.catalog import (  # noqa: F401  (importing registers)
+    ingest,
     cleaning,
     joins,
     windows,
     aggregates,
+    scalars,
     metrics,
+    retrieval,
+    diagnosis,
 )
 
 __all__ = ["CHECKS", "Check", "Tables"]

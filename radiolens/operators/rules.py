@@ -161,9 +161,12 @@ def fast_fading(
 def volatile_channel(
     df: DataFrame, order: LogOrder, n: int = 20, cut: float = 3.0, value: str = "ecn0"
 ) -> DataFrame:
-    """1 where the rolling std of the last ``n`` rows exceeds ``cut``."""
+    """1 where the rolling std of the last ``n`` rows exceeds ``cut``.
+
+    Rounded first: a std that equals the cut must not exceed it by its last bit.
+    """
     return windowed(
-        df, order, n - 1, lambda w: {"volatile": flag(rolling_std(value, n, w, order) > cut)}
+        df, order, n - 1, lambda w: {"volatile": flag(F.round(rolling_std(value, n, w, order), 9) > cut)}
     )
 
 

@@ -25,6 +25,7 @@ from radiolens.plans.size import PLAIN_BYTES, fits
 from radiolens.plans.stage import materialize
 
 INDEX = "_log_index"
+HOME = "_log_home"
 CHUNK = "_log_chunk"
 CHUNK_ROWS = 1 << 18
 
@@ -61,20 +62,20 @@ def index_log(df: DataFrame, order: LogOrder) -> DataFrame:
     """
     if INDEX in df.columns:
         return df
-    slot, part = "_slot", "_part"
+    slot, part, start = "_log_slot", "_log_part", "_log_start"
     placed = materialize(
         df.sort(*order.keys, *order.by).withColumn(slot, F.monotonically_increasing_id())
     ).withColumn(part, F.shiftright(slot, 33).cast("int"))
     counts = sorted((r[part], r["count"]) for r in placed.groupBy(part).count().collect())
     starts = [0, *accumulate(n for _, n in counts)]
     offsets = df.sparkSession.createDataFrame(
-        [(p, s) for (p, _), s in zip(counts, starts)], f"{part} int, _start bigint"
+        [(p, s) for (p, _), s in zip(counts, starts)], f"{part} int, {start} bigint"
     )
     offset_in_part = F.col(slot).bitwiseAND(F.lit((1 << 33) - 1))
     return (
         placed.join(F.broadcast(offsets), part)  # one row per partition
-        .withColumn(INDEX, F.col("_start") + offset_in_part)
-        .drop(slot, part, "_start")
+        .withColumn(INDEX, F.col(start) + offset_in_part)
+        .drop(slot, part, start)
     )
 
 
@@ -100,17 +101,17 @@ def windowed(
     tail = F.col(INDEX) % rows >= rows - back
     spread = (
         index_log(df, order)
-        .withColumn("_home", home)
+        .withColumn(HOME, home)
         .withColumn(
             CHUNK,
             F.explode(
-                F.when(tail, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))
+                F.when(tail, F.array(HOME, F.col(HOME) + 1)).otherwise(F.array(HOME))
             ),
         )
     )
     spec = Window.partitionBy(*order.keys, CHUNK).orderBy(INDEX)
-    result = spread.withColumns(build(spec)).where(F.col(CHUNK) == F.col("_home"))
-    return _drop_index(result.drop(CHUNK, "_home"), df)
+    result = spread.withColumns(build(spec)).where(F.col(CHUNK) == F.col(HOME))
+    return _drop_index(result.drop(CHUNK, HOME), df)
 
 
 def position(df: DataFrame, order: LogOrder, out: str) -> DataFrame:
@@ -120,9 +121,9 @@ def position(df: DataFrame, order: LogOrder, out: str) -> DataFrame:
     indexed = index_log(df, order)
     if not order.keys:
         return _drop_index(indexed.withColumn(out, F.col(INDEX)), df)
-    starts = indexed.groupBy(*order.keys).agg(F.min(INDEX).alias("_first"))
+    starts = indexed.groupBy(*order.keys).agg(F.min(INDEX).alias("_log_first"))
     placed = _match(indexed, starts, list(order.keys), "inner")
-    return _drop_index(placed.withColumn(out, F.col(INDEX) - F.col("_first")).drop("_first"), df)
+    return _drop_index(placed.withColumn(out, F.col(INDEX) - F.col("_log_first")).drop("_log_first"), df)
 
 
 def running_total(df: DataFrame, order: LogOrder, totals: dict[str, str]) -> DataFrame:
