@@ -11,6 +11,8 @@ from radiolens.catalog import (  # noqa: F401  (importing registers)
     metrics,
     retrieval,
     diagnosis,
+    models,
+    streams,
 )
 
 __all__ = ["CHECKS", "Check", "Tables"]
