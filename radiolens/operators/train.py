@@ -133,9 +133,8 @@ def train_umts_tasks(
     """
     keep = [c for c in keep if c not in features]
     train = rows.where(F.col("split") == "train")
-    ready = materialize(standard_scale(
-        impute_median(train, train, features), impute_median(train, rows, features), features
-    ).select(id, *keep, "split", *tasks, *features))
+    filled = materialize(impute_median(train, rows, features).select(id, *keep, "split", *tasks, *features))
+    ready = materialize(standard_scale(filled.where(F.col("split") == "train"), filled, features))
     fit_rows = ready.where(F.col("split") == "train")
     n_rows = fit_rows.count()
     jobs, names = [], []

@@ -19,7 +19,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 WIDEST = 10  # rows of the widest frame
 TICK_MS = 1000
 
-_STATE = "ts timestamp, event_id bigint, rscp double, ecn0 double, rscp_det double"
+_COLUMNS = ["at", "event_id", "rscp", "ecn0", "rscp_det"]  # at: microseconds, free of time zones
+_STATE = "at bigint, event_id bigint, rscp double, ecn0 double, rscp_det double"
 FEATURES = (
     "rscp_rmean_5 double, rscp_rmean_10 double, ecn0_rmean_5 double, ecn0_rmean_10 double, "
     "ecn0_rstd_5 double, rscp_diff double, ecn0_diff double, interference int, handover_needed int"
@@ -55,35 +56,32 @@ class CellFeatures(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for batch in rows:
-            batch = batch[["ts", "event_id", "rscp", "ecn0", "rscp_det"]]
+            batch = batch[_COLUMNS]
             values = [tuple(None if pd.isna(v) else v for v in r) for r in batch.itertuples(index=False, name=None)]
             self.open_rows.appendList(values)
-            earliest = batch["ts"].min()
+            earliest = int(batch["at"].min())
             first = earliest if first is None else min(first, earliest)
         if first is not None:
             self._wake_after(first)
         yield from ()
 
-    def _wake_after(self, stamp: pd.Timestamp) -> None:
+    def _wake_after(self, at: int) -> None:
         """One timer for the earliest open row; the next one is set when it has fired."""
-        ms = stamp.value // 1_000_000
-        self.handle.registerTimer((ms // TICK_MS + 1) * TICK_MS)
+        self.handle.registerTimer((at // 1000 // TICK_MS + 1) * TICK_MS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        names = ["ts", "event_id", "rscp", "ecn0", "rscp_det"]
-        held = pd.DataFrame(list(self.open_rows.get()), columns=names) if self.open_rows.exists() else None
+        held = pd.DataFrame(list(self.open_rows.get()), columns=_COLUMNS) if self.open_rows.exists() else None
         if held is None or held.empty:
             return
-        limit = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        stamps = pd.to_datetime(held["ts"]).dt.tz_localize(None)
-        ready = held[stamps < limit].sort_values(["ts", "event_id"])
-        rest = held[stamps >= limit]
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        ready = held[held["at"] < limit].sort_values(["at", "event_id"])
+        rest = held[held["at"] >= limit]
         if len(rest):
-            self._wake_after(stamps[stamps >= limit].min())
+            self._wake_after(int(rest["at"].min()))
         if ready.empty:
             return
         past = list(self.past_rows.get()) if self.past_rows.exists() else []
-        line = pd.concat([pd.DataFrame(past, columns=names), ready], ignore_index=True) if past else ready.reset_index(drop=True)
+        line = pd.concat([pd.DataFrame(past, columns=_COLUMNS), ready], ignore_index=True) if past else ready.reset_index(drop=True)
         made = self._features(line.astype({"rscp": "float64", "ecn0": "float64", "rscp_det": "float64"}))
         made.insert(0, "psc", key[0])
         self._store(self.open_rows, rest)
@@ -98,7 +96,7 @@ class CellFeatures(StatefulProcessor):
 
     @staticmethod
     def _features(line: pd.DataFrame) -> pd.DataFrame:
-        out = line[["ts", "event_id"]].copy()
+        out = line[["at", "event_id"]].copy()
         for c in ("rscp", "ecn0"):
             for n in (5, 10):
                 out[f"{c}_rmean_{n}"] = line[c].rolling(n, min_periods=1).mean()
@@ -121,7 +119,7 @@ def stream_features(sdf: DataFrame, key: str = "psc", watermark: str = "1 hour",
     Start the query inside ``rocksdb(spark)``.
     """
     rows = sdf.where(F.col(key).isNotNull()).select(
-        F.col(key).alias("psc"), F.col(time).alias("ts"), "event_id",
+        F.col(key).alias("psc"), F.col(time).alias("ts"), F.unix_micros(F.col(time)).alias("at"), "event_id",
         *[F.col(c).cast("double").alias(c) for c in ("rscp", "ecn0", "rscp_det")])
     key_type = dict(rows.dtypes)["psc"]
     return (
@@ -129,10 +127,12 @@ def stream_features(sdf: DataFrame, key: str = "psc", watermark: str = "1 hour",
         .groupBy("psc")
         .transformWithStateInPandas(
             statefulProcessor=CellFeatures(),
-            outputStructType=f"psc {key_type}, ts timestamp, event_id bigint, {FEATURES}",
+            outputStructType=f"psc {key_type}, at bigint, event_id bigint, {FEATURES}",
             outputMode="Append",
             timeMode="EventTime",
         )
+        .withColumn("ts", F.timestamp_micros("at"))
+        .drop("at")
     )
 
 
