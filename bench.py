@@ -27,7 +27,7 @@ def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "radiolens-bench")
     spent = {}
-    for name in HEADLINE:
+    for name in sys.argv[1:] or HEADLINE:
         times = []
         for _ in range(RUNS + 1):
             began = time.perf_counter()

@@ -7,15 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# A finite decimal number between optional blanks; "5d", "nan", "0x1" and the like are not numbers.
+NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,2})?)\s*$"
 
 
 def number(column: Column | str) -> Column:
-    """Text (or a number) to double; anything that is not a finite number becomes NULL."""
+    """Text (or a number) to double; anything that is not a finite number becomes NULL.
+
+    The text appears once in the expression: filters on the result are pushed below the projection
+    and evaluate it again there, so it has to stay cheap.
+    """
     col = F.col(column) if isinstance(column, str) else column
-    text = F.trim(col.cast("string"))
-    value = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when(F.abs(value) < float("inf"), value)
+    return F.regexp_extract(col.cast("string"), NUMBER, 1).try_cast("double")
 
 
 def finite(column: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from radiolens.functions.numbers import bounded, flag, number, ratio
+from radiolens.plans.once import evaluated_once
 
 # Log header -> short name, in two naming schemes.
 UMTS_NAMES = {
@@ -37,6 +38,7 @@ ZONES = (("Tres bonne", -80.0), ("Bonne", -90.0), ("Moyenne", -100.0))
 WORST_ZONE = "Mauvaise"
 ZONE_ORDER = ("Tres bonne", "Bonne", "Moyenne", "Mauvaise")
 
+FIRST_ENTRY = r"(?s)^\s*([^,]*?)\s*,.*$"
 TIME_OF_DAY = r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}\.[0-9]{1,6}"
 
 
@@ -55,8 +57,8 @@ def first_of_multi(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Keep the serving (first) entry of comma-separated cells."""
 
     def first(name: str) -> Column:
-        text = F.col(name).cast("string")
-        return F.when(F.contains(text, F.lit(",")), F.trim(F.split(text, ",")[0])).otherwise(text)
+        # one reference to the text: filters pushed below evaluate it again
+        return F.regexp_replace(F.col(name).cast("string"), FIRST_ENTRY, "$1")
 
     return df.withColumns({c: first(c) for c in columns})
 
@@ -115,12 +117,15 @@ def clean_umts(
     multi: Sequence[str] = ("band", "uarfcn", "psc", "rscp", "ecn0", "psc_det", "rscp_det"),
     time_of_day: bool = False,
 ) -> DataFrame:
-    """Blank rows, multi-values, numbers, time, required cells, copies, plausible ranges."""
+    """Multi-values, numbers, time, required cells, copies, plausible ranges.
+
+    Blank rows need no filter of their own here: they lack the required cells.
+    """
     multi = [c for c in multi if c in df.columns]
     numeric = [c for c in numeric if c in df.columns]
     parse = parse_time_of_day if time_of_day else parse_timestamp
-    rows = parse(to_numeric(first_of_multi(drop_blank_rows(df), multi), numeric), time)
-    rows = drop_duplicate_rows(drop_missing(rows, [time, "psc", "rscp", "ecn0"]))
+    rows = parse(to_numeric(first_of_multi(df, multi), numeric), time)
+    rows = drop_duplicate_rows(drop_missing(evaluated_once(rows), [time, "psc", "rscp", "ecn0"]))
     return clip(clip(rows, "rscp", *RSCP_RANGE), "ecn0", *ECN0_RANGE)
 
 

@@ -122,25 +122,36 @@ def _score_counts(preds: DataFrame, by: Sequence[str], plan: str) -> tuple[DataF
     return running_total(counted, order, {"tp": "pos", "fp": "neg"}), keys
 
 
-def roc_auc(preds: DataFrame, by: Sequence[str] = (), plan: str = "auto") -> DataFrame:
-    """Area under the ROC curve, ties counted half; NULL where only one class occurs."""
-    ranked, keys = _score_counts(preds, by, plan)
+def _roc_area() -> Column:
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return ranked.groupBy(*keys).agg(
-        F.try_divide(area.cast("double"), F.nullif(pairs.cast("double"), F.lit(0.0))).alias("roc_auc")
-    ).drop("_all")
+    return F.try_divide(area.cast("double"), F.nullif(pairs, F.lit(0.0)))
 
 
-def pr_auc(preds: DataFrame, by: Sequence[str] = (), plan: str = "auto") -> DataFrame:
-    """Trapezoid area under the precision-recall curve that starts at recall 0, precision 1."""
-    ranked, keys = _score_counts(preds, by, plan)
-    before_tp, before = F.col("tp") - F.col("pos"), F.col("tp") - F.col("pos") + F.col("fp") - F.col("neg")
+def _pr_area() -> Column:
+    before_tp = F.col("tp") - F.col("pos")
+    before = before_tp + F.col("fp") - F.col("neg")
     last = F.when(before == 0, F.lit(1.0)).otherwise(F.try_divide(before_tp, before))
     here = F.col("tp") / (F.col("tp") + F.col("fp"))
     area, total = F.sum(F.col("pos") * (here + last) / 2), F.sum("pos")
-    both = (total > 0) & (F.sum("neg") > 0)
-    return ranked.groupBy(*keys).agg(F.when(both, F.try_divide(area, total)).alias("pr_auc")).drop("_all")
+    return F.when((total > 0) & (F.sum("neg") > 0), F.try_divide(area, total))
+
+
+def curve_areas(preds: DataFrame, by: Sequence[str] = (), plan: str = "auto") -> DataFrame:
+    """Both areas from one pass over the score counts."""
+    ranked, keys = _score_counts(preds, by, plan)
+    areas = [_roc_area().alias("roc_auc"), _pr_area().alias("pr_auc")]
+    return ranked.groupBy(*keys).agg(*areas).drop("_all")
+
+
+def roc_auc(preds: DataFrame, by: Sequence[str] = (), plan: str = "auto") -> DataFrame:
+    """Area under the ROC curve, ties counted half; NULL where only one class occurs."""
+    return curve_areas(preds, by, plan).drop("pr_auc")
+
+
+def pr_auc(preds: DataFrame, by: Sequence[str] = (), plan: str = "auto") -> DataFrame:
+    """Trapezoid area under the precision-recall curve that starts at recall 0, precision 1."""
+    return curve_areas(preds, by, plan).drop("roc_auc")
 
 
 def roc_curve(preds: DataFrame, by: Sequence[str] = (), plan: str = "auto") -> DataFrame:
@@ -230,7 +241,7 @@ METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")
 def evaluate(preds: DataFrame, by: Sequence[str] = ("task", "model")) -> DataFrame:
     """All metrics of every group in one table."""
     by = list(by)
-    return binary_metrics(preds, by).join(roc_auc(preds, by), by, "inner").join(pr_auc(preds, by), by, "inner")
+    return binary_metrics(preds, by).join(curve_areas(preds, by), by, "inner")
 
 
 def fold_means(preds: DataFrame, by: Sequence[str] = ("task", "model"), fold: str = "fold") -> DataFrame:
