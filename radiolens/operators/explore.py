@@ -163,7 +163,8 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     edges = known.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")).alias("e")).scalar()
     lo, hi = edges["lo"], edges["hi"]
     at = F.floor((F.col("_v") - lo) / F.nullif(hi - lo, F.lit(0.0)) * bins)
-    placed = known.withColumn("bin", F.coalesce(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("int"))
+    # a constant column sits in the middle of a range of width one around it
+    placed = known.withColumn("bin", F.least(F.coalesce(at, F.lit(bins // 2)), F.lit(bins - 1)).cast("int"))
     return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -12,7 +12,7 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiolens.functions.scalar import encode_alphabetical
@@ -78,10 +78,10 @@ def handover_models(n_rows: int, sizes: TreeSizes = TreeSizes(), seed: int = 42)
     }
 
 
-def _run(jobs: Sequence[Callable]) -> list:
+def _run(spark: SparkSession, jobs: Sequence[Callable]) -> list:
     """Independent fits side by side: each one alone leaves executors idle between its stages."""
     with ThreadPoolExecutor(THREADS) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
 
 
 def positive_probability(scored: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def train_umts_tasks(
         for name, model in umts_models(n_rows, sizes, seed).items():
             names.append((task, name))
             jobs.append(lambda m=model, x=matrix: assembled(features, m).fit(x))
-    models = dict(zip(names, _run(jobs)))
+    models = dict(zip(names, _run(rows.sparkSession, jobs)))
     unseen = ready.where(F.col("split") != "train")
     parts = [
         positive_probability(model.transform(unseen)).select(
@@ -189,7 +189,7 @@ def train_handover_tasks(
         for name, model in handover_models(matrix.count(), sizes, seed).items():
             names.append((task, name))
             jobs.append(lambda m=model, x=matrix: assembled(features, m).fit(x))
-    models = dict(zip(names, _run(jobs)))
+    models = dict(zip(names, _run(rows.sparkSession, jobs)))
     parts = [
         positive_probability(model.transform(tests[task])).select(
             F.lit(task).alias("task"), F.lit(name).alias("model"), id, *keep, F.col("y_true").cast("int").alias("y_true"),
@@ -216,7 +216,7 @@ def out_of_fold(
             id, "fold", F.col("y_true").cast("int").alias("y_true"), "y_proba",
             F.col("prediction").cast("int").alias("y_pred"))
 
-    parts = _run([lambda i=i: one(i) for i in range(k)])
+    parts = _run(rows.sparkSession, [lambda i=i: one(i) for i in range(k)])
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import types as T
 
 from radiolens.functions.numbers import number
 
-# Encodings in the order they are tried (every byte is valid in latin1).
-ENCODINGS = ("utf-8", "utf-8-sig", "latin1")
+# Encodings in the order they are tried (every byte is valid in latin1, so nothing
+# after it is ever reached), and the names Spark has for them; a byte-order mark is cut off later.
+ENCODINGS = ("utf-8", "utf-8-sig", "latin1", "cp1252")
+SPARK_NAMES = {"utf-8-sig": "utf-8", "latin1": "iso-8859-1"}
 # Columns of the LTE log and of the UMTS log.
 LTE_COLUMNS = ("time", "pci", "band", "rsrp", "rsrq", "rlc_dl")
 UMTS_HEADER = (
@@ -25,12 +27,8 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """``utf-8`` if every file is valid UTF-8, else ``latin1``; each file is tested in its task.
-
-    Spark decodes broken UTF-8 to a replacement character instead of failing, so a line that holds
-    one marks the input as not UTF-8.
-    """
-    broken = spark.read.text(path).where(F.contains("value", F.lit("�"))).limit(1)
+    """``utf-8`` if every line is valid UTF-8, else ``latin1``; lines are tested where they are read."""
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
     return "utf-8" if broken.isEmpty() else "latin1"
 
 
@@ -43,6 +41,7 @@ def read_log(
     Give ``columns`` to skip reading the header first.  A byte-order mark is removed from it.
     """
     encoding = encodings[0] if len(encodings) == 1 else detect_encoding(spark, path)
+    encoding = SPARK_NAMES.get(encoding, encoding)
     reader = spark.read.option("sep", sep).option("encoding", encoding).option("header", True)
     if columns:
         return reader.schema(_text_schema(columns)).csv(path)
