@@ -128,6 +128,16 @@ def _(t):
     return store.read_or_compute(t.spark, root, "cell_recommendations", never)
 
 
+@check("read_documents", """select doc_id, 'telecom_doc' as type, text || chr(10) as text from documents""")
+def _(t):
+    """One file per document in a folder tree; the relative path names the document."""
+    path = scratch_path(t.spark, "documents")
+    t.documents.select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    rows = documents.read_documents(t.spark, path, "*.txt")
+    number = F.regexp_extract("source", r"^knowledge_base/doc_id=(\d+)/", 1).cast("bigint")
+    return rows.select(number.alias("doc_id"), "type", "text")
+
+
 @check("union_documents", r"""
 with l as (select doc_id, array_to_string(string_split(text, chr(10)), ' ') as j from documents)
 select source, 'telecom_doc' as type, text, doc_id from documents

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from radiolens.catalog.base import CELL, LOG, check, rounded
-from radiolens.catalog.joins import coverage_rows
+from radiolens.catalog.joins import COVERAGE_SQL, coverage_rows
 from radiolens.catalog.windows import LABELED_SQL, labeled
 from radiolens.operators import explain, features, labels, resample, score, split, train
 from radiolens.operators.features import COVERAGE_FEATURES, UMTS_FEATURES
@@ -204,19 +204,36 @@ def _(t):
     return train.cross_validate(rows, UMTS_FEATURES, models, "interference", rebalance=True)
 
 
-@check("score")
+COVERED = COVERAGE_SQL.rsplit("select event_id, coverage_zone", 1)[0] + """,
+covered as (select event_id from w where rsrp_lag2 is not null and rsrq_lag2 is not null and rlc_dl_lag2 is not null)
+"""
+
+
+@check("score", COVERED + "select event_id, 1.0::double as total, true as likeliest, true as sure from covered", ("lte_raw",))
 def _(t):
+    """Every row scored: probabilities sum to one, the class is the likeliest, the confidence its share."""
     model, names = coverage_model(t)
-    return score.score(model, coverage_table(t), names).select("event_id", "predicted_class", "confidence", "probabilities")
+    rows = score.score(model, coverage_table(t), names)
+    values = F.map_values("probabilities")
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    top = F.array_max(values)
+    return rows.select(
+        "event_id", F.round(total, 6).alias("total"),
+        (F.element_at("probabilities", F.col("predicted_class")) == top).alias("likeliest"),
+        (F.abs(F.col("confidence") - top * 100) <= 0.005001).alias("sure"))
 
 
-@check("save_model")
-def _(t):
-    """Stored and loaded: the largest difference between the scores of both (must be 0)."""
+def stored_and_loaded(t):
     model, names = coverage_model(t)
     path = scratch_path(t.spark, "model")
     store.save_model(model, {"features": list(COVERAGE_FEATURES), "labels": names}, t.spark, path)
-    loaded, meta = store.load_model(t.spark, path)
+    return model, names, *store.load_model(t.spark, path)
+
+
+@check("save_model", COVERED + "select count(*) as n, 0.0::double as gap, 0::bigint as changed from covered", ("lte_raw",))
+def _(t):
+    """Stored and loaded: the scores of both do not differ on any row."""
+    model, names, loaded, meta = stored_and_loaded(t)
     rows = coverage_table(t)
     first = score.score(model, rows, names).select("event_id", F.col("confidence").alias("a"), F.col("predicted_class").alias("x"))
     again = score.score(loaded, rows, meta["labels"]).select("event_id", F.col("confidence").alias("b"), F.col("predicted_class").alias("y"))
@@ -224,6 +241,13 @@ def _(t):
         F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("gap"), F.count_if(F.col("x") != F.col("y")).alias("changed"))
 
 
+@check("load_model")
+def _(t):
+    """Scores by a model that was stored and loaded."""
+    _, _, loaded, meta = stored_and_loaded(t)
+    return score.score(loaded, coverage_table(t), meta["labels"]).select("event_id", "predicted_class", "confidence")
+
+
 @check("validation_vectors")
 def _(t):
     model, names = coverage_model(t)

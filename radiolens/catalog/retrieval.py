@@ -35,12 +35,12 @@ def _(t):
     return retrieve.chunk_ids(rows).drop("doc_id")
 
 
-@check("embed")
+@check("embed", "with " + CHUNKS + "select doc_id, chunk, 256 as dims, 1.0::double as norm from chunks")
 def _(t):
-    """Vectors of every chunk; the invariant (unit length) is in the last column."""
+    """A vector for every chunk, of the asked size and of unit length."""
     rows = retrieve.embed(retrieve.chunk_ids(chunks(t)))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return rows.select("doc_id", "chunk", "embedding", F.round(norm, 3).alias("norm"))
+    return rows.select("doc_id", "chunk", F.size("embedding").alias("dims"), F.round(norm, 3).alias("norm"))
 
 
 def vectors(t):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from radiolens.functions.numbers import flag
 from radiolens.operators.features import difference, in_cell
-from radiolens.plans.ordered import LogOrder, windowed
+from radiolens.plans.ordered import LogOrder, prepared, windowed
 
 
 def _persistent(cond: Column, n: int, k: int, spec, order: LogOrder) -> Column:
@@ -72,10 +72,11 @@ def label_congestion(df: DataFrame, order: LogOrder, n: int = 3) -> DataFrame:
 
 def label_outage(df: DataFrame, order: LogOrder, n: int = 3) -> DataFrame:
     """Very low level, a sharp drop or very poor quality in each of the last ``n`` rows."""
-    stepped = windowed(df, order, 1, lambda w: {"_drop": difference("rscp", w, order)})
+    stepped = windowed(prepared(df, order), order, 1, lambda w: {"_drop": difference("rscp", w, order)})
 
     def at(predicate: Column) -> Column:
         return F.coalesce(predicate, F.lit(False))
 
     severe = at(F.col("rscp") <= -110.0) | at(F.col("_drop") <= -15.0) | at(F.col("ecn0") <= -15.0)
-    return persist(stepped, severe, n, n, order, "panne_probable").drop("_drop")
+    labeled = persist(stepped, severe, n, n, order, "panne_probable").drop("_drop")
+    return labeled if order.index in df.columns else labeled.drop(order.index)

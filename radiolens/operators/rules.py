@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from radiolens.functions.numbers import flag
 from radiolens.operators.features import in_cell, rolling_std
 from radiolens.operators.labels import persist
-from radiolens.plans.ordered import LogOrder, running_total, windowed
+from radiolens.plans.ordered import LogOrder, prepared, running_total, windowed
 
 # Lower bounds of the level and quality bands ("above" for the first one).
 RSCP_BANDS = (("Excellent", -75.0), ("Good", -85.0), ("Fair", -95.0), ("Poor", -110.0), ("Critical", None))
@@ -190,13 +190,13 @@ def duration_alarms(
     df: DataFrame, cond: Column, seconds: float, order: LogOrder, time: str = "ts"
 ) -> DataFrame:
     """Runs of rows of one key where ``cond`` holds throughout, lasting more than ``seconds``."""
-    on = df.withColumn("_on", flag(cond))
+    on = prepared(df.withColumn("_on", flag(cond)), order)
     starts = windowed(
         on, order, 1,
-        lambda w: {"_start": F.when((F.col("_on") == 1) & (F.coalesce(F.lag("_on", 1).over(w), F.lit(0)) == 0), 1)
+        lambda w: {"_begins": F.when((F.col("_on") == 1) & (F.coalesce(F.lag("_on", 1).over(w), F.lit(0)) == 0), 1)
                    .otherwise(0)},
     )
-    numbered = running_total(starts, order, {"run": "_start"})
+    numbered = running_total(starts, order, {"run": "_begins"})
     keys = list(order.keys)
     return (
         numbered.where(F.col("_on") == 1)

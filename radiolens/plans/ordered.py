@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from radiolens.plans.size import PLAIN_BYTES, fits
 from radiolens.plans.stage import materialize
 
-INDEX = "_log_index"
 HOME = "_log_home"
 CHUNK = "_log_chunk"
 CHUNK_ROWS = 1 << 18
@@ -46,9 +45,14 @@ class LogOrder:
 
     def splits(self, df: DataFrame) -> bool:
         if self.plan == "auto":
-            return INDEX in df.columns or not self.keys or not fits(df, self.plain_bytes)
+            return self.index in df.columns or not self.keys or not fits(df, self.plain_bytes)
         return self.plan == "chunked"
 
+    @property
+    def index(self) -> str:
+        """Name of the row number; it tells the order, so no other order can mistake it for its own."""
+        return "_log_index_" + "_".join([*self.keys, "by", *self.by])
+
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(*self.by)
 
@@ -60,7 +64,7 @@ def index_log(df: DataFrame, order: LogOrder) -> DataFrame:
     the numbers come from partition positions: a recomputed sort could cut partitions elsewhere.
     Only one count per partition reaches the driver.
     """
-    if INDEX in df.columns:
+    if order.index in df.columns:
         return df
     slot, part, start = "_log_slot", "_log_part", "_log_start"
     placed = materialize(
@@ -74,13 +78,19 @@ def index_log(df: DataFrame, order: LogOrder) -> DataFrame:
     offset_in_part = F.col(slot).bitwiseAND(F.lit((1 << 33) - 1))
     return (
         placed.join(F.broadcast(offsets), part)  # one row per partition
-        .withColumn(INDEX, F.col(start) + offset_in_part)
+        .withColumn(order.index, F.col(start) + offset_in_part)
         .drop(slot, part, start)
     )
 
 
-def _drop_index(result: DataFrame, source: DataFrame) -> DataFrame:
-    return result if INDEX in source.columns else result.drop(INDEX)
+def prepared(df: DataFrame, order: LogOrder) -> DataFrame:
+    """Number the rows now if ``order`` is going to split them, so that several operators in a row
+    share one sort; drop ``order.index`` after the last of them."""
+    return index_log(df, order) if order.splits(df) else df
+
+
+def _drop_index(result: DataFrame, source: DataFrame, order: LogOrder) -> DataFrame:
+    return result if order.index in source.columns else result.drop(order.index)
 
 
 def _match(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
@@ -97,8 +107,8 @@ def windowed(
     if not order.splits(df):
         return df.withColumns(build(order.window()))
     rows = max(order.chunk_rows, back, 1)
-    home = F.floor(F.col(INDEX) / rows)
-    tail = F.col(INDEX) % rows >= rows - back
+    home = F.floor(F.col(order.index) / rows)
+    tail = F.col(order.index) % rows >= rows - back
     spread = (
         index_log(df, order)
         .withColumn(HOME, home)
@@ -109,9 +119,9 @@ def windowed(
             ),
         )
     )
-    spec = Window.partitionBy(*order.keys, CHUNK).orderBy(INDEX)
+    spec = Window.partitionBy(*order.keys, CHUNK).orderBy(order.index)
     result = spread.withColumns(build(spec)).where(F.col(CHUNK) == F.col(HOME))
-    return _drop_index(result.drop(CHUNK, HOME), df)
+    return _drop_index(result.drop(CHUNK, HOME), df, order)
 
 
 def position(df: DataFrame, order: LogOrder, out: str) -> DataFrame:
@@ -120,10 +130,10 @@ def position(df: DataFrame, order: LogOrder, out: str) -> DataFrame:
         return df.withColumn(out, (F.row_number().over(order.window()) - 1).cast("bigint"))
     indexed = index_log(df, order)
     if not order.keys:
-        return _drop_index(indexed.withColumn(out, F.col(INDEX)), df)
-    starts = indexed.groupBy(*order.keys).agg(F.min(INDEX).alias("_log_first"))
+        return _drop_index(indexed.withColumn(out, F.col(order.index)), df, order)
+    starts = indexed.groupBy(*order.keys).agg(F.min(order.index).alias("_log_first"))
     placed = _match(indexed, starts, list(order.keys), "inner")
-    return _drop_index(placed.withColumn(out, F.col(INDEX) - F.col("_log_first")).drop("_log_first"), df)
+    return _drop_index(placed.withColumn(out, F.col(order.index) - F.col("_log_first")).drop("_log_first"), df, order)
 
 
 def running_total(df: DataFrame, order: LogOrder, totals: dict[str, str]) -> DataFrame:
@@ -133,19 +143,19 @@ def running_total(df: DataFrame, order: LogOrder, totals: dict[str, str]) -> Dat
         spec = order.window().rowsBetween(*upto)
         return df.withColumns({out: F.sum(c).over(spec) for out, c in totals.items()})
     names = [*order.keys, CHUNK]
-    chunked = index_log(df, order).withColumn(CHUNK, F.floor(F.col(INDEX) / order.chunk_rows))
+    chunked = index_log(df, order).withColumn(CHUNK, F.floor(F.col(order.index) / order.chunk_rows))
     parts = chunked.groupBy(*names).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in totals.items()])
     before = Window.partitionBy(*order.keys).orderBy(CHUNK).rowsBetween(
         Window.unboundedPreceding, -1
     )
     parts = parts.withColumns({f"_t_{o}": F.sum(f"_t_{o}").over(before) for o in totals})
-    spec = Window.partitionBy(*names).orderBy(INDEX).rowsBetween(*upto)
+    spec = Window.partitionBy(*names).orderBy(order.index).rowsBetween(*upto)
     local = chunked.withColumns({o: F.sum(c).over(spec) for o, c in totals.items()})
     joined = _match(local, parts, names, "inner")
     summed = joined.withColumns(
         {o: F.col(o) + F.coalesce(F.col(f"_t_{o}"), F.lit(0)) for o in totals}
     )
-    return _drop_index(summed.drop(CHUNK, *[f"_t_{o}" for o in totals]), df)
+    return _drop_index(summed.drop(CHUNK, *[f"_t_{o}" for o in totals]), df, order)
 
 
 def carry(df: DataFrame, order: LogOrder, column: str, out: dict[str, bool]) -> DataFrame:
@@ -165,8 +175,8 @@ def carry(df: DataFrame, order: LogOrder, column: str, out: dict[str, bool]) ->
         keys, by = list(order.keys), list(order.by)
         return df.withColumns({o: seen(keys, by, b, 0) for o, b in out.items()})
     names = [*order.keys, CHUNK]
-    chunked = index_log(df, order).withColumn(CHUNK, F.floor(F.col(INDEX) / order.chunk_rows))
-    known = F.when(F.col(column).isNotNull(), F.col(INDEX))
+    chunked = index_log(df, order).withColumn(CHUNK, F.floor(F.col(order.index) / order.chunk_rows))
+    known = F.when(F.col(column).isNotNull(), F.col(order.index))
     outside = None
     for back in sorted(set(out.values())):
         edge = F.max_by(column, known) if back else F.min_by(column, known)
@@ -175,9 +185,9 @@ def carry(df: DataFrame, order: LogOrder, column: str, out: dict[str, bool]) ->
             *names, seen(list(order.keys), [CHUNK], back, -1).alias(f"_out_{int(back)}")
         )
         outside = edges if outside is None else _match(outside, edges, names, "inner")
-    local = chunked.withColumns({o: seen(names, [INDEX], b, 0) for o, b in out.items()})
+    local = chunked.withColumns({o: seen(names, [order.index], b, 0) for o, b in out.items()})
     joined = _match(local, outside, names, "inner")
     filled = joined.withColumns(
         {o: F.coalesce(F.col(o), F.col(f"_out_{int(b)}")) for o, b in out.items()}
     )
-    return _drop_index(filled.drop(CHUNK, "_out_0", "_out_1"), df)
+    return _drop_index(filled.drop(CHUNK, "_out_0", "_out_1"), df, order)

@@ -95,10 +95,12 @@ def test_rolling_equals_pandas_and_null_cells(spark):
 def test_index_is_dense_and_reused(spark):
     order = LogOrder(BY, ("cell",), chunk_rows=50)
     indexed = index_log(frame(spark, log(7)), order)
-    places = sorted(r[0] for r in indexed.select("_log_index").collect())
+    places = sorted(r[0] for r in indexed.select(order.index).collect())
     assert places == list(range(400))
     again = lags(indexed, ["v"], order)  # keeps the numbering for the next operator
-    assert "_log_index" in again.columns and again.count() == 400
+    assert order.index in again.columns and again.count() == 400
+    other = LogOrder(("v", "id"), chunk_rows=50)  # another order does not take the numbers for its own
+    assert rows(position(indexed, other, "p"), "p") == rows(position(frame(spark, log(7)), other, "p"), "p")
 
 
 def test_no_key_goes_into_one_partition(spark):
