@@ -8,7 +8,7 @@ from radiolens.catalog.base import check, rounded
 from radiolens.functions import scalar
 from radiolens.functions.numbers import round_n
 from radiolens.operators import cells
-from radiolens.operators.clean import drop_missing
+from radiolens.operators.clean import drop_missing, sort_log
 from radiolens.plans.ordered import LogOrder, position
 
 
@@ -102,7 +102,7 @@ def _(t):
   from umts where rscp_det is not null""", ("umts",))
 def _(t):
     """By cell, then time, and where each row lands."""
-    rows = drop_missing(t.umts, ["rscp_det"])
+    rows = sort_log(drop_missing(t.umts, ["rscp_det"]), ["psc", "ts", "event_id"])
     return position(rows, LogOrder(by=("psc", "ts", "event_id")), "place").select("event_id", "psc", "place")
 
 

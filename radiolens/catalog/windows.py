@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 
 from radiolens.catalog.base import CELL, LOG, SESSION, check, rounded
 from radiolens.catalog.cleaning import CLEAN_SQL, cleaned
-from radiolens.operators import cells, features, labels
-from radiolens.operators.clean import ZONE_ORDER
-from radiolens.plans.ordered import position
+from radiolens.operators import cells, features, labels, split
 
 S = "(partition by psc order by ts, event_id rows between {n} preceding and current row)"
 SMALL = 997  # chunk length of the checks that force chunks on the small tables
@@ -209,7 +207,7 @@ def _(t):
 
 @check("rank_by_time", "select event_id, row_number() over (order by ts, event_id) - 1 as place from umts", ("umts",))
 def _(t):
-    return position(t.umts, LOG, "place").select("event_id", "place")
+    return split.rank_by_time(t.umts, LOG).select("event_id", "place")
 
 
 LABELED_SQL = f"""

@@ -99,6 +99,11 @@ def clip(df: DataFrame, column: str, lo: float, hi: float) -> DataFrame:
     return df.withColumn(column, bounded(column, lo, hi))
 
 
+def sort_log(df: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
+    """Global order by time, or by cell then time; end ``keys`` with a row id to make it total."""
+    return df.orderBy(*keys)
+
+
 def split_streams(
     df: DataFrame, left_value: str = "rsrp", right_value: str = "rlc_dl", time: str = "ts"
 ) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,11 @@ from radiolens.plans.ordered import LogOrder, position
 from radiolens.plans.quantiles import exact_quantiles
 
 
+def rank_by_time(df: DataFrame, order: LogOrder, out: str = "place") -> DataFrame:
+    """0-based place of every row in the log, from one distributed sort."""
+    return position(df, order, out)
+
+
 def time_split(df: DataFrame, order: LogOrder, cuts: Sequence[float] = (0.70, 0.85)) -> DataFrame:
     """``split`` by time rank: first 70 % train, next 15 % validation, last 15 % test."""
     total = df.agg(F.count(F.lit(1))).scalar()

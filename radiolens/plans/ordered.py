@@ -60,7 +60,7 @@ class LogOrder:
 def index_log(df: DataFrame, order: LogOrder) -> DataFrame:
     """Number the rows 0..n-1 in (keys, by) order.
 
-    The range sort splits hot keys by the order columns.  The sorted rows are checkpointed because
+    The range sort splits hot keys by the order columns.  The sorted rows are written out because
     the numbers come from partition positions: a recomputed sort could cut partitions elsewhere.
     Only one count per partition reaches the driver.
     """
