@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from radiolens.llm import bpe
 from radiolens.llm.common import table
 from radiolens.llm.exact import exact_duplicates
+from radiolens.llm.lines import dedup_lines
 from radiolens.llm.mixing import mix_sources
+from radiolens.llm.simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+VOCABULARY = dict(vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"))
+PATTERN = dict(pattern=public_tokenizers.PATTERN)
 MIX = dict(weights=(3, 1, 2), share=1.5, most=2.0)
 
 
@@ -72,3 +79,53 @@ from t""",
 )
 def _exact(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
+
+
+@query("op2_byte_bpe")
+def _bpe(spark, sf_dir):
+    rows = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), **VOCABULARY, **PATTERN)
+    rows = bpe.decode(rows, **VOCABULARY)
+    return rows.select(
+        "doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op7_simhash")
+def _simhash(spark, sf_dir):
+    return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, budget=3)
+
+
+LINE_SQL = r"""
+with recursive k as (select doc_id, text, string_split(text, chr(10)) as l from documents where text is not null),
+u as (select doc_id, unnest(l) as raw, unnest(range(len(l))) as i from k),
+n as (
+  select doc_id, i, trim(raw, ' ') as t, row_number() over (partition by doc_id order by i) as p
+  from u where trim(raw, ' ') <> ''),
+m as (
+  select *, len(t) - len(replace(t, ' ', '')) + 1 as words,
+         lead(t) over v as t2, lead(t, 2) over v as t3, lead(i) over v as i2, lead(i, 2) over v as i3,
+         lead(len(t) - len(replace(t, ' ', '')) + 1) over v as words2
+  from n window v as (partition by doc_id order by i)),
+w as (
+  select doc_id, i as start, i as last, t as body from m where words > 50
+  union all
+  select doc_id, i, i2, t || chr(10) || t2 from m where t2 is not null and words + words2 > 50
+  union all
+  select doc_id, i, i3, t || chr(10) || t2 || chr(10) || t3 from m where t3 is not null),
+f as (
+  select *, min((doc_id, start, last)) over (partition by body) as first, count(*) over (partition by body) as n from w),
+c as (
+  select doc_id, case when doc_id = first[1] then greatest(start, first[3] + 1) else start end as from_, last
+  from f where n > 1 and (doc_id, start, last) > first),
+g as (select distinct doc_id, unnest(range(from_, last + 1)) as i from c where from_ <= last),
+r as (
+  select u.doc_id, string_agg(raw, chr(10) order by u.i) filter (where g.i is null) as text, count(g.i) as n_removed
+  from u left join g on u.doc_id = g.doc_id and u.i = g.i group by u.doc_id)
+select d.doc_id, case when d.text is null then null else coalesce(r.text, '') end as text, coalesce(n_removed, 0) as n_removed
+from documents d left join r using (doc_id)"""
+
+
+@query("op9_line_dedup", LINE_SQL)
+def _lines(spark, sf_dir):
+    return dedup_lines(table(spark, sf_dir, "documents"), long_words=50).select("doc_id", "text", "n_removed")
