@@ -14,12 +14,14 @@ from radiolens.llm.exact import exact_duplicates
 from radiolens.llm.lines import dedup_lines
 from radiolens.llm.mixing import mix_sources
 from radiolens.llm.simhash import simhash_groups
+from radiolens.llm.toxicity import held_out, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 VOCABULARY = dict(vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 PATTERN = dict(pattern=public_tokenizers.PATTERN)
+TOXIC = 0.3
 MIX = dict(weights=(3, 1, 2), share=1.5, most=2.0)
 
 
@@ -129,3 +131,11 @@ from documents d left join r using (doc_id)"""
 @query("op9_line_dedup", LINE_SQL)
 def _lines(spark, sf_dir):
     return dedup_lines(table(spark, sf_dir, "documents"), long_words=50).select("doc_id", "text", "n_removed")
+
+
+@query("op8_toxicity")
+def _toxicity(spark, sf_dir):
+    rows = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted")
+    )
