@@ -13,6 +13,7 @@ from radiolens.llm.common import table
 from radiolens.llm.exact import exact_duplicates
 from radiolens.llm.lines import dedup_lines
 from radiolens.llm.mixing import mix_sources
+from radiolens.llm.private import KINDS, find_private, written
 from radiolens.llm.simhash import simhash_groups
 from radiolens.llm.toxicity import held_out, score_toxicity
 
@@ -139,3 +140,11 @@ def _toxicity(spark, sf_dir):
     return rows.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted")
     )
+
+
+@query("op10_personal_data")
+def _private(spark, sf_dir):
+    rows = find_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = rows.withColumn("base", F.filter("spans", lambda s: s["base"]))
+    counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS]
+    return rows.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
