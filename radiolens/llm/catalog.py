@@ -16,6 +16,7 @@ from radiolens.llm.mixing import mix_sources
 from radiolens.llm.private import KINDS, find_private, written
 from radiolens.llm.simhash import simhash_groups
 from radiolens.llm.toxicity import held_out, score_toxicity
+from radiolens.llm.vectors import vector_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -148,3 +149,8 @@ def _private(spark, sf_dir):
     rows = rows.withColumn("base", F.filter("spans", lambda s: s["base"]))
     counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+@query("op4_vector_groups")
+def _vectors(spark, sf_dir):
+    return vector_groups(table(spark, sf_dir, "embeddings"), least=0.9)

@@ -26,10 +26,10 @@ def test_pairs_that_no_sum_of_weights_can_tell():
     terms, y = [], []
     for _ in range(2000):  # one alone is harmless, both are not, and neither is not either
         a, b = rng.random(2) < [0.5, 0.5]
-        terms.append(np.array([10] * a + [20] * b + [30 + int(rng.integers(5))]))
+        terms.append(np.array([10] * int(a) + [20] * int(b) + [30 + int(rng.integers(5))]))
         y.append(float(a == b) if rng.random() < 0.97 else float(a != b))
     m = fit_machine(terms, np.array(y), z=-1.0)
-    p = ask(m, [[10, 20], [10], [20], []])
+    p = ask(m, [[10, 20, 30], [10, 30], [20, 30], [30]])
     assert p[0] > 0.8 and p[3] > 0.8 and p[1] < 0.2 and p[2] < 0.2
 
 
