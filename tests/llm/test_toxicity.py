@@ -40,7 +40,7 @@ def make(docs_of, n=600):
     for i in range(n):
         text = " ".join(rng.choice(words, 30))
         bad = i % 7 == 0
-        rows.append((i, text + (" You IDIOTS" if bad and i % 2 else " idiotic thing" if bad else "")))
+        rows.append((i, text + (" You IDIOT" if bad and i % 2 else " idiot thing" if bad else "")))
         labels.append((i, int(bad)))
     return rows, labels
 
