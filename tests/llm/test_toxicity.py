@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from radiolens.llm import toxicity
 from radiolens.llm.toxicity import fit_machine, held_out, score_toxicity, sigmoid
@@ -61,7 +62,7 @@ def test_learns_and_keeps_rows(spark, docs_of):
 
 def test_held_out_labels_are_not_learned_from(spark, docs_of):
     rows, labels = make(docs_of)
-    assert {r.doc_id for r in docs_of(rows).where(held_out(docs_of(rows).doc_id)).collect()} == {i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert {r.doc_id for r in docs_of(rows).where(held_out(F.col("doc_id"))).collect()} == {i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
     other = [(i, 1 - y if zlib.crc32(str(i).encode()) % 4 == 2 else y) for i, y in labels]
     scores = [
         {r.doc_id: r.score for r in score_toxicity(docs_of(rows), spark.createDataFrame(x, "doc_id long, toxic int")).collect()}
@@ -79,6 +80,6 @@ def test_no_labels_and_no_rows(spark, docs_of):
 def test_held_out_accuracy_on_the_given_tables(spark):
     at = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
-    out = score_toxicity(docs, labels).join(labels, "doc_id").where(held_out(docs.doc_id)).select("score", "toxic").collect()
+    out = score_toxicity(docs, labels).join(labels, "doc_id").where(held_out(F.col("doc_id"))).select("score", "toxic").collect()
     right = sum((r.score >= 0.3) == (r.toxic == 1) for r in out)
     assert right / len(out) > 0.9
