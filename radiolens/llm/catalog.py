@@ -13,6 +13,7 @@ from radiolens.llm.common import table
 from radiolens.llm.exact import exact_duplicates
 from radiolens.llm.lines import dedup_lines
 from radiolens.llm.mixing import mix_sources
+from radiolens.llm.pages import main_text
 from radiolens.llm.private import KINDS, find_private, written
 from radiolens.llm.simhash import simhash_groups
 from radiolens.llm.toxicity import held_out, score_toxicity
@@ -154,3 +155,9 @@ def _private(spark, sf_dir):
 @query("op4_vector_groups")
 def _vectors(spark, sf_dir):
     return vector_groups(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+@query("op3_main_text")
+def _pages(spark, sf_dir):
+    rows = main_text(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
