@@ -14,6 +14,7 @@ from radiolens.llm.exact import exact_duplicates
 from radiolens.llm.lines import dedup_lines
 from radiolens.llm.mixing import mix_sources
 from radiolens.llm.pages import main_text
+from radiolens.llm.perplexity import score_quality
 from radiolens.llm.private import KINDS, find_private, written
 from radiolens.llm.simhash import simhash_groups
 from radiolens.llm.toxicity import held_out, score_toxicity
@@ -161,3 +162,9 @@ def _vectors(spark, sf_dir):
 def _pages(spark, sf_dir):
     rows = main_text(table(spark, sf_dir, "pages"))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_quality")
+def _quality(spark, sf_dir):
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return score_quality(table(spark, sf_dir, "documents"), trusted, quantile=0.99, slack=1.05)
