@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from radiolens.catalog.base import check, rounded
+from radiolens.catalog.base import LOG, check, rounded
 from radiolens.functions.numbers import scalar_math
-from radiolens.operators import clean, requests
+from radiolens.operators import clean, features, requests
 
 SHORT = {
     "time_s": "time", "psc_s": "psc", "rscp_s": "rscp", "ecn0_s": "ecn0",
@@ -67,11 +67,16 @@ def _(t):
     return clean.first_of_multi(t.umts_raw.select("event_id", "rscp_s"), ["rscp_s"])
 
 
-@check("to_numeric", f"""select event_id, {sql_number('rscp_s')} as rscp_s,
-  {sql_number('psc_det_s')} as psc_det_s from umts_raw""", ("umts_raw",))
+WIDE = """case k % 29 when 3 then '1e100' when 4 then '-2.5E-120' when 5 then '1e400' when 6 then '1e' else rscp_s end"""
+
+
+@check("to_numeric", f"""with w as (select event_id, {WIDE} as rscp_s, psc_det_s, k * 1e150::double as k from umts_raw)
+select event_id, case when abs({sql_number('rscp_s')}) < 'infinity'::double then {sql_number('rscp_s')} end as rscp_s,
+  {sql_number('psc_det_s')} as psc_det_s, k from w""", ("umts_raw",))
 def _(t):
-    rows = t.umts_raw.select("event_id", "rscp_s", "psc_det_s")
-    return clean.to_numeric(rows, ["rscp_s", "psc_det_s"])
+    """Text with any exponent (what overflows is missing), and a column of doubles, which stays as it is."""
+    rows = t.umts_raw.select("event_id", F.expr(WIDE).alias("rscp_s"), "psc_det_s", (F.col("k") * F.lit(1e150)).alias("k"))
+    return clean.to_numeric(rows, ["rscp_s", "psc_det_s", "k"])
 
 
 @check("parse_time_of_day", r"""
@@ -218,16 +223,27 @@ def _(t):
     return rows.withColumn("invalid", F.array_join("invalid", ","))
 
 
-@check("range_audit", """
-with v as (
-  select 'rsrp' as feature, rsrp as x, -140.0 as lo, -40.0 as hi from lte_raw union all
-  select 'rsrq', rsrq, -30.0, 0.0 from lte_raw union all
-  select 'rlc_dl', rlc_dl, 0.0, 10000.0 from lte_raw union all
-  select 'pci', cast(pci as double), 0.0, 503.0 from lte_raw)
+def _bound(name: str) -> str:
+    lo, hi = requests.BOUNDS[name]
+    return f"select '{name}' as feature, {name}::double as x, {lo}::double as lo, {hi}::double as hi from g"
+
+
+HISTORY = ", ".join(
+    f"lag({c}, {k}) over w as {c}_lag{k}" for c in ("rsrp", "rsrq", "rlc_dl") for k in (1, 2)
+) + ", " + ", ".join(
+    f"avg({c}) over (w rows between {n - 1} preceding and current row) as {c}_roll{n}" for c in ("rsrp", "rsrq", "rlc_dl") for n in (3, 5)
+)
+
+
+@check("range_audit", f"""
+with g as (select *, case when band is null then -1 else dense_rank() over (order by band nulls last) - 1 end as band_enc,
+  hour(ts) as hour, minute(ts) as minute, second(ts) as second, {HISTORY} from lte_raw window w as (order by ts, event_id)),
+v as ({" union all ".join(map(_bound, requests.BOUNDS))})
 select feature, count(x) as n, count(*) filter (x < lo) as below, count(*) filter (x > hi) as above
 from v group by feature""", ("lte_raw",))
 def _(t):
-    return requests.range_audit(t.lte_raw, {c: requests.BOUNDS[c] for c in ("rsrp", "rsrq", "rlc_dl", "pci")})
+    """All 20 bounds over the coverage features of the raw log."""
+    return requests.range_audit(features.coverage_features(t.lte_raw, LOG, drop_first=False))
 
 
 @check("scalar_math", """select event_id, abs(rscp) as level, greatest(-20.0, least(-5.0, ecn0))::double as quality,

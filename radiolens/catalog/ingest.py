@@ -14,11 +14,15 @@ RAW_NAMES = ["event_id", "Time", "Scrambling code (active)", "RSCP (active)", "E
              "Scrambling code (detected)", "k"]
 
 
-@check("read_log", """select event_id::varchar as event_id, time_s, psc_s, trim(rscp_s) as rscp_s, ecn0_s, rscp_det_s, psc_det_s
-  from umts_raw""", ("umts_raw",))
+@check("read_log", """select event_id::varchar as event_id, time_s, psc_s, trim(rscp_s) || case when rscp_s = 'n/a' then ' très' else '' end
+  as rscp_s, ecn0_s, rscp_det_s, psc_det_s from umts_raw""", ("umts_raw",))
 def _(t):
+    """A folder with files in UTF-8 and files in latin1, both with accents."""
     path = scratch_path(t.spark, "umts-csv")
-    t.umts_raw.toDF(*RAW_NAMES).write.option("sep", ";").option("header", True).csv(path)
+    rows = t.umts_raw.withColumn("rscp_s", F.when(F.col("rscp_s") == "n/a", "n/a très").otherwise(F.col("rscp_s"))).toDF(*RAW_NAMES)
+    for encoding, odd in (("utf-8", 0), ("iso-8859-1", 1)):
+        half = rows.where(F.col("event_id") % 2 == odd)
+        half.write.mode("append").option("sep", ";").option("header", True).option("encoding", encoding).csv(path)
     raw = logs.read_log(t.spark, path)
     out = raw.toDF("event_id", "time_s", "psc_s", "rscp_s", "ecn0_s", "rscp_det_s", "psc_det_s", "k").drop("k")
     return out.withColumn("rscp_s", F.trim("rscp_s"))

@@ -89,7 +89,8 @@ COVERAGE_COLUMNS = [
 def coverage_rows(t, order=SESSION):
     """Merged, featured LTE rows; the plan is fixed from the merged log before any join."""
     rows = merged(t)
-    return features.coverage_features(rows.dropna().dropDuplicates(), order.measured(rows))
+    radio, _ = clean.split_streams(t.lte_raw)
+    return features.coverage_features(rows.dropna().dropDuplicates(), order, bands=radio)
 
 
 @check("coverage_features", COVERAGE_SQL, ("lte_raw",))

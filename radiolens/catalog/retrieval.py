@@ -44,15 +44,16 @@ def _(t):
 
 
 def vectors(t):
-    base = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
-    asked = t.embeddings.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    return asked, base
+    """Every vector asks and is found; one of 97 is a zero vector."""
+    zero = F.transform("embedding", lambda x: x * 0)
+    rows = t.embeddings.withColumn("embedding", F.when(F.col("vec_id") % 97 == 0, zero).otherwise(F.col("embedding")))
+    return rows.select(F.col("vec_id").alias("query_id"), "embedding"), rows.select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
 TOPK = """
-c as (select q.vec_id as query_id, v.vec_id as chunk_id,
-   list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as score
-   from embeddings q, embeddings v where q.vec_id % 50 = 0),
+c as (select q.vec_id as query_id, v.vec_id as chunk_id, case when q.vec_id % 97 = 0 or v.vec_id % 97 = 0 then 0.0::double
+   else list_cosine_similarity(q.embedding::double[], v.embedding::double[]) end as score
+   from embeddings q, embeddings v),
 hits as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from c)
    where rank <= {k})
 """
@@ -66,9 +67,9 @@ def _(t):
 
 @check("cosine_topk_join", "with " + TOPK.format(k=5) + "select query_id, chunk_id, round(score, 6) as score, rank from hits")
 def _(t):
-    """The plan for more queries than can be broadcast: blocked exact neighbor join."""
+    """The same rows from many small blocks."""
     asked, base = vectors(t)
-    return rounded(retrieve.cosine_topk(asked, base, 5, query_bytes=-1))
+    return rounded(retrieve.cosine_topk(asked, base, 5, block_rows=97))
 
 
 LABELS = tuple(QOS_CLASSES.values())

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from radiolens.catalog.base import check, rounded
 from radiolens.functions import scalar
 from radiolens.functions.numbers import round_n
 from radiolens.operators import cells
-from radiolens.operators.clean import drop_missing, sort_log
-from radiolens.plans.ordered import LogOrder, position
+from radiolens.operators.clean import sort_log
+from radiolens.plans.stage import materialize
 
 
 @check("time_parts", "select event_id, hour(ts)::int as hour, minute(ts)::int as minute, second(ts)::int as second from umts",
@@ -88,22 +89,25 @@ def _(t):
     return rounded(out)
 
 
-@check("round_n", "select event_id, round(rscp, 1) as rscp, round(rscp_det, 1) as rscp_det from umts where (rscp * 100)::bigint % 10 <> -5 and coalesce((rscp_det * 100)::bigint % 10, 0) not in (5, -5)",
-       ("umts",))
+@check("round_n", """select event_id, round_even(rscp * 8, 0) / 8 as rscp_8, round_even(k / 2.0::double, 0) as half_k,
+  round_even(k / 8.0::double, 2) as eighth_k from umts""", ("umts",))
 def _(t):
-    def off_half(c):  # engines round halves differently
-        return ~F.coalesce(F.abs(F.round(F.col(c) * 100).cast("bigint") % 10) == 5, F.lit(False))
-
-    rows = t.umts.where(off_half("rscp") & off_half("rscp_det"))
-    return round_n(rows, ["rscp", "rscp_det"], 1).select("event_id", "rscp", "rscp_det")
+    """All rows; every second ``half_k`` and ``eighth_k`` lies on a half and goes to the even neighbor."""
+    rows = t.umts.select("event_id", (F.col("rscp") * 8).alias("rscp_8"), (F.col("k") / 2).alias("half_k"), (F.col("k") / 8).alias("eighth_k"))
+    rows = round_n(round_n(rows, ["rscp_8", "half_k"], 0), ["eighth_k"], 2)
+    return rows.withColumn("rscp_8", F.col("rscp_8") / 8)
 
 
 @check("sort_log", """select event_id, psc, row_number() over (order by psc, ts, event_id) - 1 as place
-  from umts where rscp_det is not null""", ("umts",))
+  from umts""", ("umts",))
 def _(t):
-    """By cell, then time, and where each row lands."""
-    rows = sort_log(drop_missing(t.umts, ["rscp_det"]), ["psc", "ts", "event_id"])
-    return position(rows, LogOrder(by=("psc", "ts", "event_id")), "place").select("event_id", "psc", "place")
+    """By cell, then time; the place is read off the sorted rows as they stand, partition after partition."""
+    rows = sort_log(t.umts, ["psc", "ts", "event_id"]).select("event_id", "psc", F.monotonically_increasing_id().alias("_at"))
+    rows = materialize(rows.withColumn("_part", F.shiftright("_at", 33)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    starts = rows.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(starts, "_part").select("event_id", "psc", place.alias("place"))
 
 
 @check("top_n_cells", """select psc, count(*) as n, round(avg(ecn0), 6) as ecn0_mean from umts group by psc

@@ -137,20 +137,27 @@ def _(t):
 
 
 @check("qos_features", """
-with m as (select * from lte_raw where rsrp is not null)
+with l as (select * exclude (rlc_dl) from lte_raw where rsrp is not null),
+r as (select event_id as rid, ts as rts, session_id as rs, rlc_dl from lte_raw where rlc_dl is not null),
+j as (select l.event_id, r.rlc_dl, row_number() over (partition by l.event_id
+    order by abs(epoch_us(ts) - epoch_us(rts)), case when rts > ts then 1 else 0 end, case when rts > ts then rid else -rid end) as rn
+  from l join r on l.session_id = r.rs and abs(epoch_us(ts) - epoch_us(rts)) <= 7200000000),
+m as (select l.*, j.rlc_dl from l left join j on l.event_id = j.event_id and j.rn = 1)
 select event_id, epoch(date_trunc('second', ts))::bigint as time_seconds,
   coalesce(epoch(date_trunc('second', ts))::bigint - lag(epoch(date_trunc('second', ts))::bigint)
     over (partition by session_id order by ts, event_id), 0)::double as time_delta_s,
 """ + ", ".join(
     f"round(avg({c}) over f, 6) as {c}_roll_mean_5, round(coalesce(stddev_samp({c}) over f, 0), 6) as {c}_roll_std_5"
-    for c in ("rsrp", "rsrq")) + """
+    for c in ("rsrp", "rsrq", "rlc_dl")) + """
 from m window f as (partition by session_id order by ts, event_id rows between 4 preceding and current row)""",
        ("lte_raw",))
 def _(t):
-    radio = t.lte_raw.where(F.col("rsrp").isNotNull())
-    rows = features.qos_features(radio, SESSION, columns=("rsrp", "rsrq"))
+    """On the merged rows, so that throughput has a history too."""
+    from radiolens.catalog.joins import merged
+
+    rows = features.qos_features(merged(t), SESSION)
     return rounded(rows.select("event_id", "time_seconds", "time_delta_s", *[
-        f"{c}_roll_{f}_5" for c in ("rsrp", "rsrq") for f in ("mean", "std")]))
+        f"{c}_roll_{f}_5" for c in ("rsrp", "rsrq", "rlc_dl") for f in ("mean", "std")]))
 
 
 def persist_sql(cond: str, n: int, k: int, out: str) -> str:

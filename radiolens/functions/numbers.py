@@ -8,17 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A finite decimal number between optional blanks; "5d", "nan", "0x1" and the like are not numbers.
-NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,2})?)\s*$"
+NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
+NUMERIC = "^(double|float|tinyint|smallint|int|bigint|decimal)"
 
 
 def number(column: Column | str) -> Column:
-    """Text (or a number) to double; anything that is not a finite number becomes NULL.
+    """Text or a number to double; anything that is not a finite number becomes NULL.
 
-    The text appears once in the expression: filters on the result are pushed below the projection
-    and evaluate it again there, so it has to stay cheap.
+    The type is known when the plan is made, so only one branch is left: a numeric column never
+    becomes text. The text appears once in the expression: filters on the result are pushed below the
+    projection and evaluate it again there, so it has to stay cheap.
     """
     col = F.col(column) if isinstance(column, str) else column
-    return F.regexp_extract(col.cast("string"), NUMBER, 1).try_cast("double")
+    parsed = F.regexp_extract(col.cast("string"), NUMBER, 1).try_cast("double")
+    finite_ = F.get(F.filter(F.array(parsed), lambda x: F.abs(x) < float("inf")), F.lit(0))
+    return F.when(F.typeof(col).rlike(NUMERIC), finite(col.try_cast("double"))).otherwise(finite_)
 
 
 def finite(column: Column | str) -> Column:
@@ -43,13 +47,10 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def round_n(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), n) for c in columns})
+    """To ``n`` decimals, halves to the even neighbor."""
+    return df.withColumns({c: F.bround(F.col(c), n) for c in columns})
 
 
 def scalar_math(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     """Named column expressions such as ``abs``, clip and ratios, all in one projection."""
     return df.withColumns(exprs)
-
-
-def alias_rounded(columns: Sequence[str], n: int = 6) -> list[Column]:
-    return [F.round(F.col(c), n).alias(c) for c in columns]

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from radiolens.functions.numbers import flag
-from radiolens.plans.ordered import LogOrder, position
 
 # Hours of the day that count as peak.
 PEAK_HOURS = (7, 8, 9, 17, 18, 19, 20)
@@ -29,18 +28,26 @@ def is_peak_hour(df: DataFrame, column: str, out: str = "is_peak_hour") -> DataF
 
 
 def alphabetical_codes(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """(value, code): 0-based alphabetical codes of the distinct non-null values."""
+    """(value, code): 0-based alphabetical codes of the distinct non-null values.
+
+    Numbered in one window over a row per category; no job runs when the plan is made.
+    """
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return position(values, LogOrder(by=(column,)), out or f"{column}_enc")
+    place = F.row_number().over(Window.orderBy(column)) - 1
+    return values.withColumn(out or f"{column}_enc", place.cast("bigint"))
 
 
-def encode_alphabetical(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
+def encode_alphabetical(
+    df: DataFrame, column: str, out: str | None = None, codes: DataFrame | None = None
+) -> DataFrame:
     """Category codes in alphabetical order, NULL -> -1.
 
-    The dimension of distinct values is joined; Spark broadcasts it only when it is small.
+    The dimension of distinct values is joined; Spark broadcasts it only when it is small. Give
+    ``codes`` (from ``alphabetical_codes``) where ``df`` is dear to compute twice.
     """
     out = out or f"{column}_enc"
-    codes = alphabetical_codes(df, column, out).withColumnRenamed(column, "_value")
+    codes = alphabetical_codes(df, column, out) if codes is None else codes
+    codes = codes.toDF("_value", out)
     joined = df.join(codes, F.col(column) == F.col("_value"), "left").drop("_value")
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit(-1)).cast("int"))
 
@@ -104,9 +111,3 @@ def top_entries(probs: Column, n: int) -> Column:
 
 def top_probabilities(df: DataFrame, probs: str, n: int = 2, out: str = "top") -> DataFrame:
     return df.withColumn(out, top_entries(F.col(probs), n))
-
-
-def probability_map(labels: Sequence[str], columns: Sequence[str]) -> Column:
-    return F.map_from_arrays(
-        F.array(*[F.lit(x) for x in labels]), F.array(*[F.col(c).cast("double") for c in columns])
-    )

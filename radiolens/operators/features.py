@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from radiolens.functions.numbers import ratio
-from radiolens.functions.scalar import encode_alphabetical, time_parts
+from radiolens.functions.scalar import alphabetical_codes, encode_alphabetical, time_parts
 from radiolens.operators.cells import attach_cell_stats, cell_aggregates
 from radiolens.operators.clean import coverage_zone, neighbor_flags, signal_gap
 from radiolens.plans.ordered import LogOrder, windowed
 
+# The feature sets of the UMTS and of the coverage models.
 UMTS_FEATURES = (
     "rscp", "ecn0", "delta_rscp", "has_neighbor", "psc_rscp_mean", "psc_ecn0_mean", "rscp_vs_mean",
     "ecn0_vs_mean", "rscp_rmean_5", "ecn0_rmean_5", "rscp_rmean_10", "ecn0_rmean_10",
@@ -148,11 +149,12 @@ def umts_features_notebook(df: DataFrame, order: LogOrder, key: str = "psc") ->
 
 
 def coverage_features(
-    df: DataFrame, order: LogOrder, time: str = "ts", drop_first: bool = True
+    df: DataFrame, order: LogOrder, time: str = "ts", drop_first: bool = True, bands: DataFrame | None = None
 ) -> DataFrame:
     """Zone, time parts, band code, lags 1-2 and rolling means 3/5 of the three radio values.
 
     ``order`` without keys follows the whole log; with a session key lags stay inside the session.
+    ``bands``: the log whose bands are numbered, where ``df`` is dear to compute twice (NULL -> -1).
     """
 
     def build(w: WindowSpec) -> dict[str, Column]:
@@ -162,8 +164,9 @@ def coverage_features(
             out |= {f"{c}_roll{n}": rolling_mean(c, n, w, order) for n in (3, 5)}
         return out
 
-    rows = windowed(time_parts(coverage_zone(df), time), order, 4, build)
-    rows = encode_alphabetical(rows, "band")
+    codes = None if bands is None else alphabetical_codes(bands, "band")
+    rows = encode_alphabetical(time_parts(coverage_zone(df), time), "band", codes=codes)
+    rows = windowed(rows, order, 4, build)
     return rows.dropna() if drop_first else rows
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +28,20 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """``utf-8`` if every line is valid UTF-8, else ``latin1``; lines are tested where they are read."""
-    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
-    return "utf-8" if broken.isEmpty() else "latin1"
+def broken_files(spark: SparkSession, path: str) -> list[str]:
+    """Files of ``path`` that are not valid UTF-8; lines are tested where they are read."""
+    lines = spark.read.text(path).where(~F.is_valid_utf8("value"))
+    return [_plain(r[0]) for r in lines.select(F.col("_metadata.file_path").alias("file")).distinct().collect()]
+
+
+def all_files(spark: SparkSession, path: str) -> list[str]:
+    """The files that a read of ``path`` would read."""
+    return [_plain(f) for f in spark.read.text(path).inputFiles()]
+
+
+def _plain(uri: str) -> str:
+    """One form of a file's name: no escapes, one slash behind the scheme of local files."""
+    return re.sub("^file:/+", "file:/", unquote(uri))
 
 
 def read_log(
@@ -38,15 +50,27 @@ def read_log(
 ) -> DataFrame:
     """Delimited text with a header, all columns as text.
 
-    Give ``columns`` to skip reading the header first.  A byte-order mark is removed from it.
+    The encoding is found for each file: UTF-8 where every line is valid, else latin1. Give ``columns``
+    to skip reading the header first; give one encoding to skip the test. A byte-order mark is removed
+    from the header. Columns are matched by place, as in one read of the whole path.
     """
-    encoding = encodings[0] if len(encodings) == 1 else detect_encoding(spark, path)
-    encoding = SPARK_NAMES.get(encoding, encoding)
-    reader = spark.read.option("sep", sep).option("encoding", encoding).option("header", True)
-    if columns:
-        return reader.schema(_text_schema(columns)).csv(path)
-    frame = reader.option("inferSchema", False).csv(path)
-    return frame.toDF(*[c.lstrip("﻿") for c in frame.columns])
+
+    def read(paths: str | list[str], encoding: str) -> DataFrame:
+        encoding = SPARK_NAMES.get(encoding, encoding)
+        reader = spark.read.option("sep", sep).option("encoding", encoding).option("header", True)
+        if columns:
+            return reader.schema(_text_schema(columns)).csv(paths)
+        frame = reader.option("inferSchema", False).csv(paths)
+        return frame.toDF(*[c.lstrip("\ufeff") for c in frame.columns])
+
+    if len(encodings) == 1:
+        return read(path, encodings[0])
+    broken = set(broken_files(spark, path))
+    if not broken:
+        return read(path, "utf-8")
+    valid = [f for f in all_files(spark, path) if f not in broken]
+    latin = read(sorted(broken), "latin1")
+    return read(valid, "utf-8").union(latin) if valid else latin
 
 
 def read_lte_log(spark: SparkSession, path: str, sep: str = ",", header: bool = True) -> DataFrame:

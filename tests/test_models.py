@@ -163,7 +163,7 @@ def test_embed_and_topk_plans_agree(spark):
     base = retrieve.embed(docs, model).drop("text")
     asked = retrieve.embed(spark.createDataFrame([(1, "cell 3 drop"), (2, "neighbor word11")], "query_id bigint, text string"), model)
     near = {(r["query_id"], r["rank"]): (r["chunk_id"], round(r["score"], 6)) for r in retrieve.cosine_topk(asked, base, 4).collect()}
-    far = {(r["query_id"], r["rank"]): (r["chunk_id"], round(r["score"], 6)) for r in retrieve.cosine_topk(asked, base, 4, query_bytes=-1).collect()}
+    far = {(r["query_id"], r["rank"]): (r["chunk_id"], round(r["score"], 6)) for r in retrieve.cosine_topk(asked, base, 4, block_rows=7).collect()}
     assert len(near) == 8 and near[(2, 1)][0] == 11
     assert {k: v[1] for k, v in near.items()} == pytest.approx({k: v[1] for k, v in far.items()}, abs=1e-5)
     assert retrieve.cosine_topk(asked, base.limit(3), 5).count() == 6
