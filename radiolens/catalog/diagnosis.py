@@ -88,7 +88,7 @@ def _(t):
 
 @check("volatile_channel_short", volatile_sql(5, 2), ("umts",))
 def _(t):
-    return rules.volatile_channel(t.umts, replace(CELL, plan="chunked", chunk_rows=997), 5, 2.0).select("event_id", "volatile")
+    return rules.volatile_channel(t.umts, replace(CELL, chunk_rows=61), 5, 2.0).select("event_id", "volatile")
 
 
 @check("interference_share", """select psc, count(*) as samples, round(avg(case when ecn0 < -10 then 1 else 0 end), 6) as share
@@ -119,7 +119,7 @@ def _(t):
 @check("duration_alarms_weak", ALARM_SQL.format(cond="rscp < -75", seconds=120), ("umts",))
 def _(t):
     """The weaker level of the fixture, with the chunked plan of large logs."""
-    split = replace(CELL, plan="chunked", chunk_rows=997)
+    split = replace(CELL, chunk_rows=61)
     return rules.duration_alarms(t.umts, F.col("rscp") < -75, 120, split).select("psc", "run", "samples", "duration_s")
 
 

@@ -165,7 +165,7 @@ NOTEBOOK_FEATURES = (
 
 def umts_table(t):
     """Labeled rows of the three UMTS tasks with the notebook features, split by time."""
-    order = CELL.measured(t.umts)
+    order = CELL
     rows = labels.label_outage(labels.label_congestion(labels.label_qos_degraded(t.umts), order), order)
     return split.time_split(features.umts_features_notebook(rows, order), LOG)
 
@@ -180,7 +180,7 @@ def _(t):
 
 def handover_table(t):
     rows = labeled(t).drop("delta_rscp", "has_neighbor", "delta_sc", "signal_gap_abs", "active_detected_close", "active_detected_far")
-    table = features.umts_features(rows, CELL.measured(t.umts))
+    table = features.umts_features(rows, CELL)
     table = split.fill_zero(table, UMTS_FEATURES)
     for task in train.HANDOVER_TASKS:
         table = split.stratified_split(table, task, "event_id").withColumnRenamed("split", f"split_{task}")

@@ -11,7 +11,7 @@ from radiolens.catalog.cleaning import CLEAN_SQL, cleaned
 from radiolens.operators import cells, features, labels, split
 
 S = "(partition by psc order by ts, event_id rows between {n} preceding and current row)"
-SMALL = 997  # chunk length of the checks that force chunks on the small tables
+SMALL = 61  # chunk length below that of a cell
 
 
 def frame(n: int) -> str:
@@ -32,7 +32,7 @@ GLOBAL = "(order by ts, event_id rows between {n} preceding and current row)"
   lag(ecn0, 1) over w as ecn0_lag1, lag(ecn0, 2) over w as ecn0_lag2
   from umts window w as (order by ts, event_id)""", ("umts",))
 def _(t):
-    rows = features.lags(t.umts, ["rscp", "ecn0"], replace(LOG, chunk_rows=SMALL))
+    rows = features.lags(t.umts, ["rscp", "ecn0"], LOG)
     return rows.select("event_id", "rscp_lag1", "rscp_lag2", "ecn0_lag1", "ecn0_lag2")
 
 
@@ -40,7 +40,7 @@ def _(t):
     {"rscp_roll3": ("rscp", 3), "rscp_roll5": ("rscp", 5), "ecn0_roll3": ("ecn0", 3), "ecn0_roll5": ("ecn0", 5)},
     GLOBAL), ("umts",))
 def _(t):
-    rows = features.rolling_mean_global(t.umts, ["rscp", "ecn0"], replace(LOG, chunk_rows=SMALL))
+    rows = features.rolling_mean_global(t.umts, ["rscp", "ecn0"], LOG)
     return rounded(rows.select("event_id", "rscp_roll3", "rscp_roll5", "ecn0_roll3", "ecn0_roll5"))
 
 
@@ -55,9 +55,8 @@ def _(t):
 
 @check("rolling_mean_cell_chunked", means_sql(CELL_MEANS), ("umts",))
 def _(t):
-    """The same with the plan large logs get: every cell split into chunks with a halo."""
-    split = replace(CELL, plan="chunked", chunk_rows=SMALL)
-    rows = features.rolling_mean_cell(t.umts, ["rscp", "ecn0"], split)
+    """Chunks shorter than most cells, so that every cell is split and needs its halo."""
+    rows = features.rolling_mean_cell(t.umts, ["rscp", "ecn0"], replace(CELL, chunk_rows=SMALL))
     return rounded(rows.select("event_id", *CELL_MEANS))
 
 
@@ -247,4 +246,4 @@ def flagship(t):
     """Raw text log to an action per cell: clean, gap, persistence labels, rates, decision."""
     order = replace(CELL, by=("time", "event_id"))
     rows = cleaned(t)
-    return cells.cell_recommendations(labels.label_umts(with_gap(rows), order.measured(rows)))
+    return cells.cell_recommendations(labels.label_umts(with_gap(rows), order))

@@ -23,7 +23,7 @@ def asof_nearest(
     tolerance_s: float,
     by: Sequence[str] = (),
     tie: str = "event_id",
-    plan: str = "auto",
+    plan: str = "chunked",
     chunk_rows: int | None = None,
 ) -> DataFrame:
     """Left rows with the columns of the nearest right row, NULL where none is near enough.

@@ -108,7 +108,7 @@ def classification_report(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 def _score_counts(preds: DataFrame, by: Sequence[str], plan: str) -> tuple[DataFrame, list[str]]:
     """Rows per score with running positives and negatives from the highest score down."""
-    keys = [*by, "_all"]  # a constant key, so that the size decides about chunks without ``by`` too
+    keys = [*by, "_all"]  # a constant key, for the plain plan without ``by``
     counted = (
         preds.where(F.col("y_proba").isNotNull())
         .groupBy(*by, F.lit(0).alias("_all"), (-F.col("y_proba")).alias("_down"))
@@ -118,7 +118,6 @@ def _score_counts(preds: DataFrame, by: Sequence[str], plan: str) -> tuple[DataF
         )
     )
     order = LogOrder(by=("_down",), keys=tuple(keys), plan=plan)
-    order = order.measured(preds) if plan == "auto" else order
     return running_total(counted, order, {"tp": "pos", "fp": "neg"}), keys
 
 
@@ -137,24 +136,24 @@ def _pr_area() -> Column:
     return F.when((total > 0) & (F.sum("neg") > 0), F.try_divide(area, total))
 
 
-def curve_areas(preds: DataFrame, by: Sequence[str] = (), plan: str = "auto") -> DataFrame:
+def curve_areas(preds: DataFrame, by: Sequence[str] = (), plan: str = "chunked") -> DataFrame:
     """Both areas from one pass over the score counts."""
     ranked, keys = _score_counts(preds, by, plan)
     areas = [_roc_area().alias("roc_auc"), _pr_area().alias("pr_auc")]
     return ranked.groupBy(*keys).agg(*areas).drop("_all")
 
 
-def roc_auc(preds: DataFrame, by: Sequence[str] = (), plan: str = "auto") -> DataFrame:
+def roc_auc(preds: DataFrame, by: Sequence[str] = (), plan: str = "chunked") -> DataFrame:
     """Area under the ROC curve, ties counted half; NULL where only one class occurs."""
     return curve_areas(preds, by, plan).drop("pr_auc")
 
 
-def pr_auc(preds: DataFrame, by: Sequence[str] = (), plan: str = "auto") -> DataFrame:
+def pr_auc(preds: DataFrame, by: Sequence[str] = (), plan: str = "chunked") -> DataFrame:
     """Trapezoid area under the precision-recall curve that starts at recall 0, precision 1."""
     return curve_areas(preds, by, plan).drop("roc_auc")
 
 
-def roc_curve(preds: DataFrame, by: Sequence[str] = (), plan: str = "auto") -> DataFrame:
+def roc_curve(preds: DataFrame, by: Sequence[str] = (), plan: str = "chunked") -> DataFrame:
     """Every point of the curve, the origin (no threshold) included."""
     ranked, keys = _score_counts(preds, by, plan)
     totals = ranked.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))

@@ -38,7 +38,7 @@ def _shuffled_place(df: DataFrame, label: str, id: str, seed: int, plan: str) ->
 
 
 def stratified_split(
-    df: DataFrame, label: str, id: str, test: float = 0.2, seed: int = 42, plan: str = "auto"
+    df: DataFrame, label: str, id: str, test: float = 0.2, seed: int = 42, plan: str = "chunked"
 ) -> DataFrame:
     """``split`` train/test with the same share of every class, exact to one row."""
     sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_size"))
@@ -50,7 +50,7 @@ def stratified_split(
 
 
 def stratified_folds(
-    df: DataFrame, label: str, id: str, k: int = 5, seed: int = 42, plan: str = "auto"
+    df: DataFrame, label: str, id: str, k: int = 5, seed: int = 42, plan: str = "chunked"
 ) -> DataFrame:
     """``fold`` 0..k-1, every class spread evenly over the folds."""
     placed = _shuffled_place(df, label, id, seed, plan)

@@ -2,31 +2,35 @@
 
 A cell, a session or a class may hold a third of all rows, and some scans have no key at all.
 ``Window.partitionBy(key)`` would put such a group into a single task.  Every operator that needs
-row order therefore goes through this module, which has two plans for the same result:
-
-* keyed:   a plain window per key, taken only when the planned size of the input is small enough
-           for any single key to fit one task;
-* chunked: one range sort numbers the rows of the log, the number cuts the log into chunks of equal
-           row count whatever the key distribution is, and each chunk receives what it needs from
-           the chunks before it: the last few rows (``windowed``), a partial sum
-           (``running_total``) or the last value seen (``carry``).
+row order therefore goes through this module. The log is cut into chunks along its order, and each
+chunk receives what it needs from the chunks before it:
+
+* a partial sum (``running_total``, ``position``) or the last value seen (``carry``): any borders
+  do, so they come from a sketch of the first order column, the chunk is a column expression, and
+  the rows are shuffled once;
+* the last few rows (``windowed``): chunks must hold enough rows, so one range sort numbers the rows
+  and the number cuts the log into chunks of equal row count whatever the key distribution is.
+
+No size decides about the plan. ``plan="keyed"`` asks for a plain window per key, for logs whose keys
+are known to be small.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from radiolens.plans.size import PLAIN_BYTES, fits
 from radiolens.plans.stage import materialize
 
 HOME = "_log_home"
 CHUNK = "_log_chunk"
+BORDERS = "_log_borders"
 CHUNK_ROWS = 1 << 18
+CHUNKS = 256  # chunks by a sketch; ties in the first order column share one
 
 
 @dataclass(frozen=True)
@@ -35,18 +39,11 @@ class LogOrder:
 
     by: tuple[str, ...]
     keys: tuple[str, ...] = ()
-    plan: str = "auto"  # auto | keyed | chunked
+    plan: str = "chunked"  # chunked | keyed
     chunk_rows: int = CHUNK_ROWS
-    plain_bytes: int = PLAIN_BYTES
-
-    def measured(self, df: DataFrame) -> LogOrder:
-        """Fix the plan from the size of ``df`` so that later operators do not decide again."""
-        return replace(self, plan="chunked" if self.splits(df) else "keyed")
 
     def splits(self, df: DataFrame) -> bool:
-        if self.plan == "auto":
-            return self.index in df.columns or not self.keys or not fits(df, self.plain_bytes)
-        return self.plan == "chunked"
+        return self.plan == "chunked" or not self.keys or self.index in df.columns
 
     @property
     def index(self) -> str:
@@ -89,6 +86,18 @@ def prepared(df: DataFrame, order: LogOrder) -> DataFrame:
     return index_log(df, order) if order.splits(df) else df
 
 
+def _chunked(df: DataFrame, order: LogOrder) -> tuple[DataFrame, tuple[str, ...]]:
+    """``df`` with its chunk, which never falls along the order of a key, and the order columns inside it."""
+    if order.index in df.columns:
+        return df.withColumn(CHUNK, F.floor(F.col(order.index) / order.chunk_rows)), (order.index,)
+    first = F.col(order.by[0])
+    shares = [F.lit(i / CHUNKS) for i in range(1, CHUNKS)]
+    borders = df.agg(F.percentile_approx(first, F.array(*shares), F.lit(100 * CHUNKS))).scalar()
+    at = F.size(F.filter(BORDERS, lambda b: b < first))
+    chunk = F.when(first.isNull(), F.lit(-1)).otherwise(at).cast("bigint")  # NULL sorts first
+    return df.withColumn(BORDERS, borders).withColumn(CHUNK, chunk).drop(BORDERS), order.by
+
+
 def _drop_index(result: DataFrame, source: DataFrame, order: LogOrder) -> DataFrame:
     return result if order.index in source.columns else result.drop(order.index)
 
@@ -128,12 +137,8 @@ def position(df: DataFrame, order: LogOrder, out: str) -> DataFrame:
     """0-based place of each row inside its key."""
     if not order.splits(df):
         return df.withColumn(out, (F.row_number().over(order.window()) - 1).cast("bigint"))
-    indexed = index_log(df, order)
-    if not order.keys:
-        return _drop_index(indexed.withColumn(out, F.col(order.index)), df, order)
-    starts = indexed.groupBy(*order.keys).agg(F.min(order.index).alias("_log_first"))
-    placed = _match(indexed, starts, list(order.keys), "inner")
-    return _drop_index(placed.withColumn(out, F.col(order.index) - F.col("_log_first")).drop("_log_first"), df, order)
+    counted = running_total(df.withColumn("_log_one", F.lit(1)), order, {out: "_log_one"})
+    return counted.drop("_log_one").withColumn(out, F.col(out) - 1)
 
 
 def running_total(df: DataFrame, order: LogOrder, totals: dict[str, str]) -> DataFrame:
@@ -143,19 +148,19 @@ def running_total(df: DataFrame, order: LogOrder, totals: dict[str, str]) -> Dat
         spec = order.window().rowsBetween(*upto)
         return df.withColumns({out: F.sum(c).over(spec) for out, c in totals.items()})
     names = [*order.keys, CHUNK]
-    chunked = index_log(df, order).withColumn(CHUNK, F.floor(F.col(order.index) / order.chunk_rows))
+    chunked, by = _chunked(df, order)
     parts = chunked.groupBy(*names).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in totals.items()])
-    before = Window.partitionBy(*order.keys).orderBy(CHUNK).rowsBetween(
+    before = Window.partitionBy(*order.keys).orderBy(CHUNK).rowsBetween(  # a row per chunk
         Window.unboundedPreceding, -1
     )
     parts = parts.withColumns({f"_t_{o}": F.sum(f"_t_{o}").over(before) for o in totals})
-    spec = Window.partitionBy(*names).orderBy(order.index).rowsBetween(*upto)
+    spec = Window.partitionBy(*names).orderBy(*by).rowsBetween(*upto)
     local = chunked.withColumns({o: F.sum(c).over(spec) for o, c in totals.items()})
     joined = _match(local, parts, names, "inner")
     summed = joined.withColumns(
         {o: F.col(o) + F.coalesce(F.col(f"_t_{o}"), F.lit(0)) for o in totals}
     )
-    return _drop_index(summed.drop(CHUNK, *[f"_t_{o}" for o in totals]), df, order)
+    return summed.drop(CHUNK, *[f"_t_{o}" for o in totals])
 
 
 def carry(df: DataFrame, order: LogOrder, column: str, out: dict[str, bool]) -> DataFrame:
@@ -175,8 +180,8 @@ def carry(df: DataFrame, order: LogOrder, column: str, out: dict[str, bool]) ->
         keys, by = list(order.keys), list(order.by)
         return df.withColumns({o: seen(keys, by, b, 0) for o, b in out.items()})
     names = [*order.keys, CHUNK]
-    chunked = index_log(df, order).withColumn(CHUNK, F.floor(F.col(order.index) / order.chunk_rows))
-    known = F.when(F.col(column).isNotNull(), F.col(order.index))
+    chunked, by = _chunked(df, order)
+    known = F.when(F.col(column).isNotNull(), F.struct(*by))
     outside = None
     for back in sorted(set(out.values())):
         edge = F.max_by(column, known) if back else F.min_by(column, known)
@@ -185,9 +190,9 @@ def carry(df: DataFrame, order: LogOrder, column: str, out: dict[str, bool]) ->
             *names, seen(list(order.keys), [CHUNK], back, -1).alias(f"_out_{int(back)}")
         )
         outside = edges if outside is None else _match(outside, edges, names, "inner")
-    local = chunked.withColumns({o: seen(names, [order.index], b, 0) for o, b in out.items()})
+    local = chunked.withColumns({o: seen(names, list(by), b, 0) for o, b in out.items()})
     joined = _match(local, outside, names, "inner")
     filled = joined.withColumns(
         {o: F.coalesce(F.col(o), F.col(f"_out_{int(b)}")) for o, b in out.items()}
     )
-    return _drop_index(filled.drop(CHUNK, "_out_0", "_out_1"), df, order)
+    return filled.drop(CHUNK, "_out_0", "_out_1")

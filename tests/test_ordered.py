@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from radiolens.operators.features import first_difference, lags, rolling_mean_cell, rolling_std_cell
 from radiolens.plans.ordered import LogOrder, carry, index_log, position, running_total
 from radiolens.plans.quantiles import exact_quantiles
-from radiolens.plans.size import fits, planned_bytes
 
 BY = ("t", "id")
 
@@ -109,13 +108,6 @@ def test_no_key_goes_into_one_partition(spark):
     assert "SinglePartition" not in plan
 
 
-def test_size_check(spark):
-    df = spark.range(1000)
-    assert planned_bytes(df) == 8000 and fits(df, 8000) and not fits(df, 7999)
-    assert LogOrder(("id",), ("id",), plain_bytes=10).measured(df).plan == "chunked"
-    assert LogOrder(("id",), ("id",)).measured(df).plan == "keyed"
-
-
 @few
 @given(seed=st.integers(0, 99))
 def test_quantiles_equal_numpy(spark, seed):
