@@ -11,6 +11,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from radiolens.catalog import CHECKS, Tables  # noqa: E402
+from radiolens.plans.stage import release  # noqa: E402
 from radiolens.session import local_session  # noqa: E402
 
 HEADLINE = (
@@ -33,6 +34,7 @@ def main() -> None:
             began = time.perf_counter()
             CHECKS[name].run(Tables(spark, sf)).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - began)
+            release(spark)
         spent[name] = round(statistics.median(times[1:]), 3)
         print(name, [round(x, 2) for x in times], file=sys.stderr, flush=True)
     total = round(sum(spent.values()), 3)

@@ -169,6 +169,13 @@ def _(t):
     return rounded(explore.box_stats(zoned(t), "rsrp", "coverage_zone"))
 
 
+def violin_predictions(t):
+    return t.scored.select(
+        F.when(F.col("y_true") == 1, "pos").otherwise("neg").alias("y_true"),
+        F.create_map(F.lit("pos"), "y_proba", F.lit("neg"), 1 - F.col("y_proba")).alias("probs"),
+    )
+
+
 @check("violin_stats", """
 with p as (select case when y_true = 1 then 'pos' else 'neg' end as true_class,
              case when y_true = 1 then y_proba else 1 - y_proba end as p from scored)
@@ -176,25 +183,36 @@ select true_class, count(*) as n, min(p) as lo, round(quantile_cont(p, 0.25), 6)
   round(quantile_cont(p, 0.5), 6) as median, round(quantile_cont(p, 0.75), 6) as q75, max(p) as hi
 from p group by true_class""", ("scored",))
 def _(t):
-    preds = t.scored.select(
-        F.when(F.col("y_true") == 1, "pos").otherwise("neg").alias("y_true"),
-        F.create_map(F.lit("pos"), "y_proba", F.lit("neg"), 1 - F.col("y_proba")).alias("probs"),
-    )
-    return rounded(explore.violin_stats(preds, "probs", "y_true"))
+    return rounded(explore.violin_stats(violin_predictions(t), "probs", "y_true"))
+
 
+def kde_sql(rows: str, value: str, by: str, points: int, bins: int = explore.KDE_BINS) -> str:
+    """Linear binning, then the kernel sum."""
+    return f"""
+s as (select {by}, count({value}) as n, stddev_samp({value}) * pow(count({value}), -0.2) as w from {rows} group by {by}),
+e as (select min({value})::double as lo, (max({value}) - min({value}))::double / {points - 1} as step,
+   (max({value}) - min({value}))::double / {bins - 1} as width from {rows}),
+a as (select {by}, ({value} - lo) / width as pos from {rows}, e where {value} is not null),
+b as (select {by}, least(floor(pos), {bins - 2}) as bin, pos from a),
+v as (select {by}, bin, sum(m) as m from (select {by}, bin, 1 - (pos - bin) as m from b union all select {by}, bin + 1, pos - bin from b) group by all),
+g as (select i::int as point, lo + i * step as x from e, range({points}) as r(i))
+select {by}, point, round(max(x), 6) as x,
+  round(sum(m * exp(-0.5 * pow((x - (lo + bin * width)) / w, 2)) / (n * w * sqrt(2 * pi()))), 6) + 0.0 as density
+from v join s using ({by}), g, e group by {by}, point"""
 
-@check("kde", "with " + ZONED + """,
-s as (select coverage_zone, count(*) as n, stddev_samp(rsrp) * pow(count(*), -0.2) as w from z group by coverage_zone),
-v as (select coverage_zone, rsrp, count(*) as m from z group by all),
-e as (select min(rsrp) as lo, (max(rsrp) - min(rsrp)) / 39 as step from z),
-g as (select i::int as point, lo + i * step as x from e, range(40) as r(i))
-select coverage_zone, point, round(max(x), 6) as x,
-  round(sum(m * exp(-0.5 * pow((x - rsrp) / w, 2)) / (n * w * sqrt(2 * pi()))), 6) + 0.0 as density
-from v join s using (coverage_zone), g group by coverage_zone, point""", ("lte_raw",))
+
+@check("kde", "with " + ZONED + "," + kde_sql("z", "rsrp", "coverage_zone", 40), ("lte_raw",))
 def _(t):
     return rounded(explore.kde(zoned(t), "rsrp", "coverage_zone", 40))
 
 
+@check("violin_density", """
+with p as (select case when y_true = 1 then 'pos' else 'neg' end as true_class,
+             case when y_true = 1 then y_proba else 1 - y_proba end as p from scored),""" + kde_sql("p", "p", "true_class", 50), ("scored",))
+def _(t):
+    return rounded(explore.violin_density(violin_predictions(t), "probs", "y_true"))
+
+
 @check("stability_pairs", "with " + ZONED + """,
 p as (select *, lag(rsrp) over (order by ts, event_id) as before from z)
 select coverage_zone, count(*) as pairs, round(corr(before, rsrp), 6) + 0.0 as r,

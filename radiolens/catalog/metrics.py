@@ -10,6 +10,7 @@ from radiolens.catalog.aggregates import PRED, predictions
 from radiolens.catalog.base import check, rounded
 from radiolens.operators import asof, evaluate, explore, selection
 from radiolens.operators.evaluate import SCAN_THRESHOLDS, SEARCH_THRESHOLDS
+from radiolens.plans.stage import materialize
 from radiolens.sources.documents import union_results
 
 # three "models" with different scores for the same rows, as a comparison needs them
@@ -21,13 +22,13 @@ MODELS = {
 
 
 def model_predictions(t):
-    parts = []
-    for place, (name, (_, score)) in enumerate(MODELS.items()):
-        parts.append(predictions(t).withColumns({
-            "model": F.lit(name), "place": F.lit(place), "y_proba": score().cast("double"),
-            "fold": (F.col("event_id") % 5).cast("int"),
-        }).withColumn("y_pred", (F.col("y_proba") >= 0.5).cast("int")))
-    return union_results(*parts)
+    """One pass over the log: the models are an array on each row."""
+    each = F.array(*[
+        F.struct(F.lit(name).alias("model"), F.lit(place).alias("place"), score().cast("double").alias("y_proba"))
+        for place, (name, (_, score)) in enumerate(MODELS.items())
+    ])
+    rows = predictions(t).drop("y_proba", "y_pred").select("*", F.inline(each))
+    return rows.withColumns({"fold": (F.col("event_id") % 5).cast("int"), "y_pred": (F.col("y_proba") >= 0.5).cast("int")})
 
 
 MODEL_PRED = "with " + PRED + ",\nmp as (" + "\nunion all\n".join(
@@ -71,7 +72,7 @@ comp as (select task, model, place, tp, fp, tn, fn, """ + ", ".join(
 
 
 def comparison(t):
-    preds = model_predictions(t)
+    preds = materialize(model_predictions(t).select("task", "model", "fold", "y_true", "y_proba", "y_pred"))  # read four times
     places = F.element_at(F.create_map(*[x for i, m in enumerate(MODELS) for x in (F.lit(m), F.lit(i))]), F.col("model"))
     table = evaluate.evaluate(preds).join(evaluate.fold_means(preds), ["task", "model"], "inner")
     return evaluate.compare_models(table.withColumn("place", places))
@@ -80,7 +81,9 @@ def comparison(t):
 @check("union_results", MODEL_PRED + "select task, model, count(*) as n, round(sum(y_proba), 6) as total from mp group by all",
        ("scored",))
 def _(t):
-    rows = model_predictions(t).groupBy("task", "model").agg(F.count(F.lit(1)).alias("n"), F.sum("y_proba").alias("total"))
+    preds = model_predictions(t)
+    parts = [preds.where(F.col("model") == name) for name in MODELS]
+    rows = union_results(*parts).groupBy("task", "model").agg(F.count(F.lit(1)).alias("n"), F.sum("y_proba").alias("total"))
     return rounded(rows)
 
 

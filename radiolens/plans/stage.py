@@ -24,9 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_paths: dict[int, list[str]] = {}  # by session
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for an intermediate table."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for an intermediate table; ``release`` deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _paths.setdefault(id(spark), []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session; call it when the results that read them are written."""
+    hadoop = spark._jsc.hadoopConfiguration()
+    for path in _paths.pop(id(spark), []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 
 from radiolens.catalog import CHECKS, Tables
 from radiolens.catalog.base import TABLES
+from radiolens.plans.stage import release
 from tests.conftest import SMALL
 from tools.verify import normal
 
@@ -25,6 +26,7 @@ def test_registered_query(spark, duck, name):
     check = CHECKS[name]
     frame = check.run(Tables(spark, SMALL))
     rows = [tuple(r.asDict(recursive=True)[c] for c in frame.columns) for r in frame.collect()]
+    release(spark)
     if not check.sql:
         assert rows
         return

@@ -17,6 +17,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."
 
 from radiolens.catalog import CHECKS, Tables  # noqa: E402
 from radiolens.catalog.base import TABLES  # noqa: E402
+from radiolens.plans.stage import release  # noqa: E402
 from radiolens.session import local_session  # noqa: E402
 
 
@@ -64,6 +65,7 @@ def main() -> int:
             print(f"FAIL  {name}: {type(error).__name__} {str(error)[:600]}", flush=True)
             continue
         spent = time.time() - began
+        release(spark)
         if not check.sql:
             print(f"rows  {name}: {len(rows)} rows {spent:.1f}s", flush=True)
             continue
