@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from radiolens.catalog.base import CELL, LOG, check, rounded
 from radiolens.catalog.joins import COVERAGE_SQL, coverage_rows
-from radiolens.catalog.windows import LABELED_SQL, labeled
+from radiolens.catalog.windows import CONGESTION_SQL, LABELED_SQL, QOS_SQL, frame, labeled
+from radiolens.functions import scalar
 from radiolens.operators import explain, features, labels, resample, score, split, train
 from radiolens.operators.features import COVERAGE_FEATURES, UMTS_FEATURES
 from radiolens.plans.stage import materialize, scratch_path
@@ -137,6 +138,12 @@ def _(t):
     return resample.resample_effect(base, resample.smote(base, ["a", "b", "c"], "interference", "event_id"), "interference")
 
 
+COVERED = COVERAGE_SQL.rsplit("select event_id, coverage_zone", 1)[0] + """,
+covered as (select event_id from w where rsrp_lag2 is not null and rsrq_lag2 is not null and rlc_dl_lag2 is not null)
+"""
+COVERED_ZONES = COVERED + ", zones as (select coverage_zone from w join covered using (event_id)) "
+
+
 def coverage_table(t):
     return materialize(coverage_rows(t).select("event_id", "coverage_zone", *COVERAGE_FEATURES))
 
@@ -145,18 +152,21 @@ def coverage_model(t):
     return train.train_coverage_forest(coverage_table(t), COVERAGE_FEATURES, sizes=SMALL)
 
 
-@check("train_coverage")
+@check("train_coverage", COVERED_ZONES + """select coverage_zone, floor(n * 0.2::double + 0.5)::bigint as n, true as known, true as sure
+  from (select coverage_zone, count(*) as n from zones group by 1)""", ("lte_raw",))
 def _(t):
-    """Boosted one-vs-rest on rebalanced rows; counts of true and predicted zones."""
-    rows = split.stratified_split(coverage_table(t), "coverage_zone", "event_id")
+    """Boosted one-vs-rest on scaled and rebalanced rows: every test row of a zone gets a zone, with a confidence."""
+    rows = materialize(split.stratified_split(coverage_table(t), "coverage_zone", "event_id"))
     model, names = train.train_coverage(rows.where("split = 'train'"), COVERAGE_FEATURES, sizes=SMALL)
     scored = score.score(model, rows.where("split = 'test'"), names)
-    return scored.groupBy("coverage_zone", "predicted_class").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 2).alias("confidence"))
+    return scored.groupBy("coverage_zone").agg(
+        F.count(F.lit(1)).alias("n"), F.every(F.col("predicted_class").isin(names)).alias("known"),
+        F.every(F.col("confidence").between(100 / len(names) - 0.01, 100)).alias("sure"))
 
 
+# The 32 features of the UMTS tasks.
 NOTEBOOK_FEATURES = (
-    "psc", "rscp", "ecn0", "rscp_det", "psc_det", "delta_rscp", "delta_sc", "signal_gap_abs", "active_detected_close",
+    "band", "uarfcn", "psc", "rscp", "ecn0", "rscp_det", "psc_det", "hour", "minute", "second", "is_peak_hour", "delta_rscp", "delta_sc", "signal_gap_abs", "active_detected_close",
     "active_detected_far", "rscp_roll_mean", "rscp_roll_std", "rscp_diff1", "ecn0_roll_mean", "ecn0_roll_std",
     "ecn0_diff1", "rscp_cell_mean", "rscp_cell_min", "rscp_cell_max", "rscp_cell_std", "ecn0_cell_mean",
     "ecn0_cell_min", "ecn0_cell_max", "ecn0_cell_std", "n_samples_cell", "rscp_quality_ratio",
@@ -167,15 +177,48 @@ def umts_table(t):
     """Labeled rows of the three UMTS tasks with the notebook features, split by time."""
     order = CELL
     rows = labels.label_outage(labels.label_congestion(labels.label_qos_degraded(t.umts), order), order)
+    rows = scalar.is_peak_hour(scalar.time_parts(rows, "ts"), "ts")
+    # the fixture has no band and channel; they follow from the cell
+    rows = rows.withColumns({"band": F.col("psc") % 3 + 1, "uarfcn": F.col("psc") % 7 * 25 + 10562})
     return split.time_split(features.umts_features_notebook(rows, order), LOG)
 
 
-@check("train_umts_tasks")
-def _(t):
-    from radiolens.operators.evaluate import evaluate
+UMTS_LABELS = f"""
+st as (select *, coalesce(rscp - lag(rscp) over (partition by psc order by ts, event_id), 0) as step,
+    row_number() over (order by ts, event_id) - 1 as i, count(*) over () as total from umts),
+lb as (select event_id, case when i < floor(total * 0.70::double) then 'train' when i < floor(total * 0.85::double) then 'validation' else 'test' end as split,
+  {QOS_SQL} as qos_degradee, {CONGESTION_SQL} as congestion_probable,
+  case when sum(case when rscp <= -110 or step <= -15 or ecn0 <= -15 then 1 else 0 end) over {frame(3)} >= 3 then 1 else 0 end as panne_probable
+  from st),
+tl as (select 'qos_degradee' as task, split, qos_degradee as y from lb union all select 'congestion_probable', split, congestion_probable from lb
+  union all select 'panne_probable', split, panne_probable from lb),
+ms as (select unnest(['LogisticRegression', 'RandomForest', 'GradientBoosting']) as model)
+"""
 
-    fitted = train.train_umts_tasks(umts_table(t), NOTEBOOK_FEATURES, sizes=SMALL)
-    return evaluate(fitted.predictions).join(fitted.thresholds.drop("best_score"), ["task", "model"])
+
+@check("train_umts_tasks", "with " + UMTS_LABELS + """
+select task, model, count(*) as n, sum(y)::bigint as positives, true as scored, true as applied, true as unscaled
+from tl, ms where split = 'test' group by task, model""", ("umts",))
+def _(t):
+    """Rows and positives of each task and model on the test rows; every probability lies in [0, 1], the
+    threshold is applied, and the whole stored and loaded pipeline gives the same probabilities from cleaned rows.
+    """
+    table = materialize(umts_table(t))
+    fitted = train.train_umts_tasks(table, NOTEBOOK_FEATURES, sizes=SMALL)
+    gaps = {}
+    for (task, name), model in fitted.models.items():
+        path = scratch_path(t.spark, "model")
+        store.save_model(model, {"features": list(NOTEBOOK_FEATURES)}, t.spark, path)
+        again = train.positive_probability(store.load_model(t.spark, path)[0].transform(table.where("split = 'test'")))
+        own = fitted.predictions.where((F.col("task") == task) & (F.col("model") == name)).select("event_id", F.col("y_proba").alias("p"))
+        far = again.join(own, "event_id").where(F.abs(F.col("p") - F.col("y_proba")) > 1e-9)
+        gaps[task, name] = far.isEmpty()
+    same = t.spark.createDataFrame([(*k, v) for k, v in gaps.items()], "task string, model string, unscaled boolean")
+    return fitted.predictions.groupBy("task", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("y_true").cast("bigint")).alias("positives"),
+        F.every(F.col("y_proba").between(0, 1)).alias("scored"),
+        F.every(F.col("y_pred") == (F.col("y_proba") >= F.col("threshold")).cast("int")).alias("applied"),
+    ).join(same, ["task", "model"])
 
 
 def handover_table(t):
@@ -187,26 +230,40 @@ def handover_table(t):
     return materialize(table)
 
 
-@check("train_handover_tasks")
+HANDOVER = "with " + LABELED_SQL + """,
+tl as (select 'interference' as task, interference as y from labeled union all select 'handover_needed', handover_needed from labeled),
+sz as (select task, y, count(*) as n from tl group by all),
+ms as (select unnest(['LogisticRegression', 'RandomForest', 'GradientBoosting']) as model)
+"""
+
+
+@check("train_handover_tasks", HANDOVER + """
+select task, model, sum(floor(n * 0.2::double + 0.5))::bigint as n, sum(case when y = 1 then floor(n * 0.2::double + 0.5) else 0 end)::bigint as positives,
+  true as counted from sz, ms group by task, model""", ("umts",))
 def _(t):
+    """Test rows and positives of each task and model; the four counts of the evaluation add up to them."""
     from radiolens.operators.evaluate import evaluate
 
     fitted = train.train_handover_tasks(handover_table(t), UMTS_FEATURES, sizes=SMALL)
-    return evaluate(fitted.predictions)
+    sizes = fitted.predictions.groupBy("task", "model").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y_true").cast("bigint")).alias("positives"))
+    table = evaluate(fitted.predictions).join(sizes, ["task", "model"])
+    right = (F.col("tp") + F.col("fn") == F.col("positives")) & (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn") == F.col("n"))
+    return table.select("task", "model", "n", "positives", right.alias("counted"))
 
 
-@check("cross_validate")
+@check("cross_validate", HANDOVER + """select task, model, true as bounded, true as spread from (select distinct task from tl), ms""", ("umts",))
 def _(t):
-    """Five folds of logistic regression, oversampled inside the folds."""
-    rows = handover_table(t).withColumn("y_true", F.col("interference").cast("double"))
-    rows = materialize(split.stratified_folds(split.standard_scale(rows, rows, UMTS_FEATURES), "interference", "event_id"))
-    models = {"LogisticRegression": train.handover_models(rows.count(), SMALL)["LogisticRegression"]}
-    return train.cross_validate(rows, UMTS_FEATURES, models, "interference", rebalance=True)
-
-
-COVERED = COVERAGE_SQL.rsplit("select event_id, coverage_zone", 1)[0] + """,
-covered as (select event_id from w where rsrp_lag2 is not null and rsrq_lag2 is not null and rlc_dl_lag2 is not null)
-"""
+    """Five folds of the three models on both tasks, oversampled inside the folds; means lie in [0, 1]."""
+    parts = []
+    table = handover_table(t)
+    for task in train.HANDOVER_TASKS:
+        rows = table.withColumn("y_true", F.col(task).cast("double"))
+        rows = materialize(split.stratified_folds(split.standard_scale(rows, rows, UMTS_FEATURES), task, "event_id"))
+        parts.append(train.cross_validate(rows, UMTS_FEATURES, train.handover_models(rows.count(), SMALL), task, rebalance=True))
+    rows = parts[0].unionByName(parts[1])
+    bounded = [F.col(f"cv_{c}").between(0, 1) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")]
+    return rows.select("task", "model", (bounded[0] & bounded[1] & bounded[2] & bounded[3] & bounded[4]).alias("bounded"),
+                       (F.col("cv_recall_std").between(0, 0.5) & F.col("cv_roc_auc_std").between(0, 0.5)).alias("spread"))
 
 
 @check("score", COVERED + "select event_id, 1.0::double as total, true as likeliest, true as sure from covered", ("lte_raw",))
@@ -241,11 +298,12 @@ def _(t):
         F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("gap"), F.count_if(F.col("x") != F.col("y")).alias("changed"))
 
 
-@check("load_model")
+@check("load_model", COVERED + "select event_id, true as known, true as sure from covered", ("lte_raw",))
 def _(t):
-    """Scores by a model that was stored and loaded."""
+    """Scores of every row by a model that was stored and loaded."""
     _, _, loaded, meta = stored_and_loaded(t)
-    return score.score(loaded, coverage_table(t), meta["labels"]).select("event_id", "predicted_class", "confidence")
+    rows = score.score(loaded, coverage_table(t), meta["labels"])
+    return rows.select("event_id", F.col("predicted_class").isin(meta["labels"]).alias("known"), F.col("confidence").between(0, 100).alias("sure"))
 
 
 @check("validation_vectors")
@@ -254,18 +312,27 @@ def _(t):
     return score.validation_vectors(model, score.coverage_samples(t.spark), names)
 
 
-@check("feature_importance")
+@check("feature_importance", COVERED + f"""select {len(COVERAGE_FEATURES) + 1} as features, 1.0::double as total, 0.0::double as least, 0.0::double as flat
+  from covered having count(*) > 0""", ("lte_raw",))
 def _(t):
-    from radiolens.operators.selection import top_features
-
-    model, _ = coverage_model(t)
-    return top_features(explain.feature_importance(t.spark, model, COVERAGE_FEATURES), 15)
+    """One share per feature, none negative, in sum one; a constant column has none."""
+    rows = coverage_table(t).withColumn("flat", F.lit(1.0))
+    model, _ = train.train_coverage_forest(rows, (*COVERAGE_FEATURES, "flat"), sizes=SMALL)
+    table = explain.feature_importance(t.spark, model, (*COVERAGE_FEATURES, "flat"))
+    return table.agg(F.count(F.lit(1)).cast("int").alias("features"), F.round(F.sum("importance"), 6).alias("total"),
+                     F.least(F.min("importance"), F.lit(0.0)).alias("least"), F.max(F.when(F.col("feature") == "flat", F.col("importance"))).alias("flat"))
 
 
-@check("permutation_importance")
+@check("permutation_importance", "with " + LABELED_SQL + f"""select unnest({[*UMTS_FEATURES, 'flat']}) as feature, unnest({[False] * len(UMTS_FEATURES) + [True]}) as flat,
+  true as bounded from (select 1 from labeled limit 1)""", ("umts",))
 def _(t):
+    """Ten shuffles of every feature; F1 falls by at most one, and not at all for a constant column."""
     rows = handover_table(t).withColumn("y_true", F.col("interference").cast("double"))
-    scaled = materialize(split.standard_scale(rows, rows, UMTS_FEATURES).select("event_id", "y_true", *UMTS_FEATURES))
+    rows = rows.withColumn("flat", F.lit(0.0))
+    names = (*UMTS_FEATURES, "flat")
+    scaled = materialize(split.standard_scale(rows, rows, names).select("event_id", "y_true", *names))
     estimator = train.handover_models(scaled.count(), SMALL)["LogisticRegression"]
-    model = train.assembled(UMTS_FEATURES, estimator).fit(scaled)
-    return explain.permutation_importance(model, scaled, UMTS_FEATURES, repeats=3)
+    model = train.assembled(names, estimator).fit(scaled)
+    falls = explain.permutation_importance(model, scaled, names)
+    still = (F.col("importance") == 0) & (F.col("spread") == 0)
+    return falls.select("feature", ((F.col("feature") == "flat") & still).alias("flat"), (F.abs("importance") <= 1).alias("bounded"))

@@ -188,8 +188,10 @@ def _(t):
     return labels.label_handover_needed(with_gap(t.umts), CELL).select("event_id", "handover_needed")
 
 
-@check("label_qos_degraded", """select event_id, case when rscp < -95 or ecn0 < -12 then 1 else 0 end as qos_degradee
-  from umts""", ("umts",))
+QOS_SQL = "case when rscp < -95 or ecn0 < -12 then 1 else 0 end"
+
+
+@check("label_qos_degraded", f"select event_id, {QOS_SQL} as qos_degradee from umts", ("umts",))
 def _(t):
     return labels.label_qos_degraded(t.umts).select("event_id", "qos_degradee")
 

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from radiolens.functions.scalar import encode_alphabetical
 from radiolens.operators.evaluate import fold_means, optimize_threshold
 from radiolens.operators.resample import smote, smote_tomek
-from radiolens.operators.split import class_weights, impute_median, standard_scale
+from radiolens.operators.split import class_weights, feature_stats, impute_median, standard_scale
+from radiolens.plans.quantiles import exact_quantiles
 from radiolens.plans.stage import materialize
 
 UMTS_TASKS = {"qos_degradee": "f1", "congestion_probable": "recall", "panne_probable": "recall"}
@@ -33,7 +34,7 @@ class TreeSizes:
     coverage_rounds: int = 400
     coverage_depth: int = 5
     umts_trees: int = 300
-    umts_depth: int = 15  # trees are not limited by the rule set; Spark needs a bound (at most 30)
+    umts_depth: int = 30  # trees are not limited by the rule set; this is the most that Spark allows
     umts_rounds: int = 100
     handover_trees: int = 200
     handover_rounds: int = 200
@@ -52,6 +53,35 @@ def assembled(features: Sequence[str], classifier: Estimator) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), classifier])
 
 
+def medians_of(train: DataFrame, features: Sequence[str]) -> dict[str, float]:
+    """A median per feature, as ``impute_median`` fills it in."""
+    return {r["column"]: r["value"] for r in exact_quantiles(train, features, [0.5]).collect()}
+
+
+def whole_pipeline(
+    train: DataFrame, features: Sequence[str], model: PipelineModel, medians: Mapping[str, float] | None = None
+) -> PipelineModel:
+    """Filling, scaling and ``model`` as one pipeline to store: it scores cleaned rows as they are.
+
+    Mean and spread come from ``train`` after filling. The rows keep their columns; scaled copies of the
+    features are added.
+    """
+    medians = medians or {}
+
+    def number(x: float) -> str:
+        return f"cast('{float(x)!r}' as double)"
+
+    filled = {c: f"coalesce(cast(`{c}` as double), {number(medians[c])})" if c in medians else f"cast(`{c}` as double)" for c in features}
+    rows = train.select(*[F.expr(x).alias(c) for c, x in filled.items()])
+    stats = {r["feature"]: (r["mean"], r["std"]) for r in feature_stats(rows, features).collect()}  # a row per feature
+    scaled = ", ".join(f"({filled[c]} - {number(m)}) / {number(s if s > 0 else 1.0)} as `scaled_{c}`" for c, (m, s) in stats.items())
+    return PipelineModel(stages=[
+        SQLTransformer(statement=f"select *, {scaled} from __THIS__"),
+        VectorAssembler(inputCols=[f"scaled_{c}" for c in features], outputCol="features"),
+        model.stages[-1],
+    ])
+
+
 def umts_models(n_rows: int, sizes: TreeSizes = TreeSizes(), seed: int = 42) -> dict[str, Estimator]:
     """Balanced logistic regression, forest and boosting with their default step."""
     common = {"labelCol": "y_true", "featuresCol": "features"}
@@ -94,20 +124,22 @@ def train_coverage(
 ) -> tuple[PipelineModel, list[str]]:
     """Boosted trees for the zones, one against the rest; returns the model and its class names.
 
-    Rows are oversampled and cleaned at the boundary first, then weighted by class.
+    Rows are scaled, oversampled and cleaned at the boundary, then weighted by class; the model scales the
+    rows it is given.
     """
     labels = sorted(r[0] for r in train.select(label).distinct().collect())  # the zones
-    rows = train.select(id, label, *features)
+    plain = train.select(id, label, *features)
+    rows = standard_scale(plain, plain, features)
     if rebalance:
         rows = smote_tomek(rows, features, label, id, k, seed).drop("parent", "neighbor", "turn")
     coded = encode_alphabetical(rows, label, "y_true").withColumn("y_true", F.col("y_true").cast("double"))
     matrix = materialize(class_weights(coded, "y_true").select("y_true", "weight", *features))
     boosting = GBTClassifier(
         maxIter=sizes.coverage_rounds, maxDepth=sizes.coverage_depth, stepSize=0.08, subsamplingRate=0.75,
-        minInstancesPerNode=3, seed=seed)
+        featureSubsetStrategy="0.75", minInfoGain=0.15, minInstancesPerNode=3, seed=seed)
     one_vs_rest = OneVsRest(
         classifier=boosting, labelCol="y_true", featuresCol="features", weightCol="weight", parallelism=THREADS)
-    return assembled(features, one_vs_rest).fit(matrix), labels
+    return whole_pipeline(plain, features, assembled(features, one_vs_rest).fit(matrix)), labels
 
 
 def train_coverage_forest(
@@ -133,6 +165,7 @@ def train_umts_tasks(
     """
     keep = [c for c in keep if c not in features]
     train = rows.where(F.col("split") == "train")
+    medians = medians_of(train, features)
     filled = materialize(impute_median(train, rows, features).select(id, *keep, "split", *tasks, *features))
     ready = materialize(standard_scale(filled.where(F.col("split") == "train"), filled, features))
     fit_rows = ready.where(F.col("split") == "train")
@@ -161,7 +194,8 @@ def train_umts_tasks(
     thresholds = materialize(reduce(lambda a, b: a.unionByName(b), searched))
     test = scored.where(F.col("split") == "test").drop("split").join(thresholds, ["task", "model"], "inner")
     predictions = test.withColumn("y_pred", (F.col("y_proba") >= F.col("threshold")).cast("int")).drop("best_score")
-    return Fitted(predictions, models, thresholds)
+    stored = {name: whole_pipeline(train, features, model, medians) for name, model in models.items()}
+    return Fitted(predictions, stored, thresholds)
 
 
 def oversampled(rows: DataFrame, features: Sequence[str], id: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -177,10 +211,10 @@ def train_handover_tasks(
 
     Feature values and label of a row stay together in every split.
     """
-    jobs, names, tests = [], [], {}
+    jobs, names, tests, trains = [], [], {}, {}
     for task in tasks:
         own = rows.withColumn("y_true", F.col(task).cast("double"))
-        train = own.where(F.col(f"split_{task}") == "train")
+        trains[task] = train = own.where(F.col(f"split_{task}") == "train")
         scaled = materialize(standard_scale(train, own, features).select(
             id, *keep, F.col(f"split_{task}").alias("split"), "y_true", *features))
         part = scaled.where(F.col("split") == "train")
@@ -196,7 +230,8 @@ def train_handover_tasks(
             "y_proba", F.col("prediction").cast("int").alias("y_pred"))
         for (task, name), model in models.items()
     ]
-    return Fitted(materialize(reduce(lambda a, b: a.unionByName(b), parts)), models)
+    stored = {(task, name): whole_pipeline(trains[task], features, model) for (task, name), model in models.items()}
+    return Fitted(materialize(reduce(lambda a, b: a.unionByName(b), parts)), stored)
 
 
 def out_of_fold(
