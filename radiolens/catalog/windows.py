@@ -233,7 +233,7 @@ def labeled(t):
 def recommend_sql(src: str) -> str:
     return f"""
 r as (select psc, avg(interference) as i, avg(handover_needed) as h from {src} where psc is not null group by psc),
-recs as (select psc, round(i, 3) as interference_rate, round(h, 3) as handover_rate,
+recs as (select psc, round_even(i, 3) as interference_rate, round_even(h, 3) as handover_rate,
   case when i > 0.5 then case when h > 0.3 then '{cells.HANDOVER}' else '{cells.INTERFERENCE}' end
        when h > 0.5 then '{cells.OPTIMIZE}' else '{cells.NO_ACTION}' end as recommendation from r)
 """

@@ -72,8 +72,8 @@ def cell_recommendations(
     )
     return rates.select(
         key,
-        F.round("int_rate", 3).alias("interference_rate"),
-        F.round("ho_rate", 3).alias("handover_rate"),
+        F.bround("int_rate", 3).alias("interference_rate"),
+        F.bround("ho_rate", 3).alias("handover_rate"),
         action.alias("recommendation"),
     ).orderBy(F.desc("interference_rate"), key)
 

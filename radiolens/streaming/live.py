@@ -27,6 +27,12 @@ FEATURES = (
 )
 
 
+def _tuples(frame: pd.DataFrame) -> list[tuple]:
+    """Rows for a list state, converted by column; missing values as None."""
+    columns = [frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in _COLUMNS]
+    return list(zip(*columns))
+
+
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
     """Stateful processors need the RocksDB store; the session gets its own setting back."""
@@ -56,9 +62,7 @@ class CellFeatures(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for batch in rows:
-            batch = batch[_COLUMNS]
-            values = [tuple(None if pd.isna(v) else v for v in r) for r in batch.itertuples(index=False, name=None)]
-            self.open_rows.appendList(values)
+            self.open_rows.appendList(_tuples(batch[_COLUMNS]))
             earliest = int(batch["at"].min())
             first = earliest if first is None else min(first, earliest)
         if first is not None:
@@ -92,7 +96,7 @@ class CellFeatures(StatefulProcessor):
     def _store(state, frame: pd.DataFrame) -> None:
         state.clear()
         if len(frame):
-            state.put([tuple(None if pd.isna(v) else v for v in r) for r in frame.itertuples(index=False, name=None)])
+            state.put(_tuples(frame))
 
     @staticmethod
     def _features(line: pd.DataFrame) -> pd.DataFrame:
@@ -116,13 +120,18 @@ class CellFeatures(StatefulProcessor):
 def stream_features(sdf: DataFrame, key: str = "psc", watermark: str = "1 hour", time: str = "ts") -> DataFrame:
     """Rolling features and persistence labels per cell, emitted in time order behind the watermark.
 
-    Start the query inside ``rocksdb(spark)``.
+    Rows without a cell need no state: as in batch they get no means, no steps and no labels. Start the
+    query inside ``rocksdb(spark)``.
     """
-    rows = sdf.where(F.col(key).isNotNull()).select(
+    every = sdf.select(
         F.col(key).alias("psc"), F.col(time).alias("ts"), F.unix_micros(F.col(time)).alias("at"), "event_id",
         *[F.col(c).cast("double").alias(c) for c in ("rscp", "ecn0", "rscp_det")])
+    rows = every.where(F.col("psc").isNotNull())
     key_type = dict(rows.dtypes)["psc"]
-    return (
+    names = [c.split() for c in FEATURES.split(", ")]
+    loose = every.where(F.col("psc").isNull()).select(
+        "psc", "event_id", *[F.lit(None if "mean" in c else 0).cast(kind).alias(c) for c, kind in names], "ts")
+    placed = (
         rows.withWatermark("ts", watermark)
         .groupBy("psc")
         .transformWithStateInPandas(
@@ -134,6 +143,7 @@ def stream_features(sdf: DataFrame, key: str = "psc", watermark: str = "1 hour",
         .withColumn("ts", F.timestamp_micros("at"))
         .drop("at")
     )
+    return placed.unionByName(loose)
 
 
 def stream_cell_stats(
