@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from radiolens.catalog.base import check, rounded
 from radiolens.functions.scalar import QOS_CLASSES
-from radiolens.operators import retrieve
+from radiolens.operators import cells, retrieve
 from radiolens.operators.retrieve import CLOSING, NO_DOCUMENTS, NO_PREDICTION
-from radiolens.plans.stage import scratch_path
+from radiolens.plans.stage import materialize, scratch_path
+from radiolens.sources import documents
 
 SPACES = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 CHUNKS = f"""
@@ -150,6 +151,38 @@ def _(t):
     return retrieve.build_prompts(questions(t), retrieve.build_context(hits(t)))
 
 
+HEAD_SQL = f"""case when kind is null then {sql_text(NO_PREDICTION)} else '**Current ' || case when kind = 'qos' then 'QoS' else 'Coverage' end
+   || ' Prediction:**' || chr(10) || '- Predicted Class: ' || coalesce(label, 'N/A') || chr(10) || '- Confidence: ' ||
+   coalesce(printf('%.2f', conf) || '%', 'N/A') || chr(10) || '- Probabilities: ' ||
+   printf('Mauvaise: %.2f', p * 100) || '%, ' || printf('Tres bonne: %.2f', (1 - p) / 4 * 100) || '%, ' ||
+   printf('Acceptable: %.2f', (1 - p) / 2 * 100) || '%' || chr(10) || chr(10) end || '**User Question:** ' || question"""
+
+
+@check("answer_prompts", "with " + Q + f"""select query_id, {HEAD_SQL} as head, 3 as sources, true as ended, 0 as foreign_texts from q""")
+def _(t):
+    """From question to prompt over the chunks of all documents, the cell table among them.
+
+    Every prompt has its question in front, three sources that stand in the corpus with their texts, and the closing.
+    """
+    table = documents.table_to_document(
+        cells.cell_stats(t.umts), ["psc"], "Cell table", "results/cells.csv", "result_table")
+    corpus = documents.union_documents(typed(t), table).withColumn("chunk", F.coalesce("chunk", F.lit(0)))
+    corpus = corpus.withColumn("source", F.concat_ws("/", "source", F.concat("doc_id", F.lit(".md"))))
+    corpus = materialize(retrieve.chunk_ids(corpus).select("chunk_id", "source", "type", "text"))
+    rows = retrieve.answer_prompts(questions(t), corpus)
+    parts = F.split("prompt", "\n\n\\*\\*Relevant Documentation:\\*\\*\n")
+    rows = materialize(rows.select("query_id", parts[0].alias("head"), parts[1].alias("tail"), F.endswith("prompt", F.lit("\n\n" + CLOSING)).alias("ended")))
+    found = rows.select("query_id", F.explode(F.filter(F.split("tail", "(^|\n\n)Source: "), lambda x: x != "")).alias("hit"))
+    source = F.substring_index("hit", "\n", 1)
+    text = F.trim(F.regexp_replace(F.substr("hit", F.length(source) + 2), F.lit("\n\n" + CLOSING), F.lit("")))
+    named = found.select("query_id", source.alias("source"), F.substring(text, 1, 100).alias("begin"))
+    known = corpus.select("source", F.substring(F.trim("text"), 1, 100).alias("begin")).distinct()
+    strange = named.join(known, ["source", "begin"], "left_anti").groupBy("query_id").count().withColumnRenamed("count", "strange")
+    sources = named.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("sources"))
+    return rows.join(sources, "query_id", "left").join(strange, "query_id", "left").select(
+        "query_id", "head", F.coalesce("sources", F.lit(0)).alias("sources"), "ended", F.coalesce(F.col("strange").cast("int"), F.lit(0)).alias("foreign_texts"))
+
+
 @check("build_prompts_plain", "with " + Q + """
 select query_id, case when kind is null then '' else 'Prediction context:' || chr(10) || '- Type: ' || kind || chr(10) ||
   coalesce('- Predicted Class: ' || label || chr(10), '') || coalesce('- Confidence: ' || printf('%.2f', conf) || '%' || chr(10), '') ||
