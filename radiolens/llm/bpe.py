@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the ranks of a public vocabulary file.
 
 Merges of one pre-token are driven by a hierarchical-bitmap rank queue: each merge rank has a bucket of
-positions in a linked list of parts, a bitmap over ranks (words of 64 ranks, words over words) says which
+positions in a linked list of parts, a bitmap over ranks (words of 256 ranks, and a word over words) says which
 buckets hold something, and find-first-set gives the lowest rank. Entries are never removed when a
 neighbour merges; a popped entry whose pair has changed is stale and skipped. A pre-token of n bytes costs
 O(n log n), so a text without any white space is no special case.
@@ -19,86 +19,82 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens up to this many bytes are remembered, so many at most for each task.
+#: Pre-tokens up to this many characters are remembered, the last so many for each task, at most twice as many.
 SHORT, REMEMBERED = 64, 200_000
+#: Ranks in a word of the bitmap: Python's integers make two levels enough.
+SHIFT = 8
+LOW = (1 << SHIFT) - 1
 
 
-class RankQueue:
-    """The lowest rank first, of one rank the leftmost position."""
+def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one pre-token: while any neighbouring pair has a rank, the lowest, leftmost one merges.
 
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.levels: list[list[int]] = []
-        while True:
-            ranks = (ranks >> 6) + 1
-            self.levels.append([0] * ranks)
-            if ranks == 1:
-                break
-
-    def push(self, rank: int, position: int) -> None:
-        held = self.buckets.get(rank)
-        if held:
-            heappush(held, position)
-            return
-        self.buckets[rank] = [position]
-        at = rank
-        for words in self.levels:
-            before = words[at >> 6]
-            words[at >> 6] = before | 1 << (at & 63)
-            if before:
-                break
-            at >>= 6
-
-    def pop(self) -> tuple[int, int] | None:
-        at = 0
-        for words in reversed(self.levels):
-            word = words[at]
-            if not word:
-                return None
-            at = at << 6 | ((word & -word).bit_length() - 1)
-        held = self.buckets[at]
-        position = heappop(held)
-        if not held:
-            self._clear(at)
-        return at, position
-
-    def _clear(self, at: int) -> None:
-        for words in self.levels:
-            words[at >> 6] &= ~(1 << (at & 63))
-            if words[at >> 6]:
-                break
-            at >>= 6
-
-
-def encode_piece(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """Ids of one pre-token: while any neighbouring pair has a rank, the lowest, leftmost one merges."""
+    The queue: ``buckets`` of positions (a heap where a rank has several), ``words`` of ``1 << SHIFT`` bits
+    for the buckets that hold something, ``top`` for the words that do. It is written out here, since a
+    call for each entry would cost more than the entry.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
+    n, get = len(piece), ranks.get
     end, before, wanted = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n  # parts start at their list position
-
-    def offer(left: int) -> None:
-        right = end[left]
-        rank = ranks.get(piece[left : end[right]]) if right < n else None
-        wanted[left] = -1 if rank is None else rank
-        if rank is not None:
-            queue.push(rank, left)
-
-    for i in range(n):
-        offer(i)
-    while (first := queue.pop()) is not None:
-        rank, left = first
-        if wanted[left] != rank:
-            continue  # stale
+    buckets: dict[int, list[int]] = {}
+    words: dict[int, int] = {}
+    top = live = 0  # live: positions whose pair has a rank
+    fresh = [(i, rank) for i in range(n - 1) if (rank := get(piece[i : i + 2])) is not None]
+    while True:
+        for at, rank in fresh:
+            wanted[at] = rank
+            live += 1
+            if rank in buckets:
+                heappush(buckets[rank], at)
+            else:
+                buckets[rank] = [at]
+                word = rank >> SHIFT
+                if word in words:
+                    words[word] |= 1 << (rank & LOW)
+                else:
+                    words[word] = 1 << (rank & LOW)
+                    top |= 1 << word
+        if not live:
+            break  # what is still queued is stale
+        while True:
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            rank = word << SHIFT | ((bits & -bits).bit_length() - 1)
+            held = buckets[rank]
+            left = heappop(held)
+            if not held:
+                del buckets[rank]
+                bits &= bits - 1
+                if bits:
+                    words[word] = bits
+                else:
+                    del words[word]
+                    top &= top - 1
+            if wanted[left] == rank:
+                break
         right = end[left]
-        end[left] = end[right]
-        wanted[right] = -1
-        if end[left] < n:
-            before[end[left]] = left
-        offer(left)
-        if before[left] >= 0:
-            offer(before[left])
+        stop = end[left] = end[right]
+        wanted[left] = -1
+        live -= 1
+        if wanted[right] >= 0:
+            wanted[right] = -1
+            live -= 1
+        fresh = []
+        if stop < n:
+            before[stop] = left
+            rank = get(piece[left : end[stop]])
+            if rank is not None:
+                fresh.append((left, rank))
+        first = before[left]
+        if first >= 0:
+            if wanted[first] >= 0:
+                wanted[first] = -1
+                live -= 1
+            rank = get(piece[first:stop])
+            if rank is not None:
+                fresh.append((first, rank))
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at : end[at]]])
@@ -120,23 +116,31 @@ class Codec:
         self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.queue = RankQueue(len(self.tokens))
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> bytes:
         ids: list[int] = []
-        known, add = self.known, ids.extend
+        known, add = self.known.get, ids.extend
         for piece in self.pieces(text):
-            found = known.get(piece)
+            found = known(piece)
             if found is None:
-                found = encode_piece(piece.encode(), self.ranks, self.queue)
-                if len(piece) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[piece] = found
+                found = self._piece(piece)
+                known = self.known.get
             add(found)
         return np.array(ids, dtype="<u4").tobytes()
 
+    def _piece(self, piece: str) -> list[int]:
+        """Ids of a pre-token that is not among those met last."""
+        found = self.older.get(piece)
+        if found is None:
+            found = encode_piece(piece.encode(), self.ranks)
+        if len(piece) <= SHORT:
+            if len(self.known) >= REMEMBERED:
+                self.known, self.older = {}, self.known
+            self.known[piece] = found
+        return found
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
