@@ -8,7 +8,7 @@ from radiolens.catalog.base import CELL, LOG, check, rounded
 from radiolens.catalog.joins import COVERAGE_SQL, coverage_rows
 from radiolens.catalog.windows import CONGESTION_SQL, LABELED_SQL, QOS_SQL, frame, labeled
 from radiolens.functions import scalar
-from radiolens.operators import explain, features, labels, resample, score, split, train
+from radiolens.operators import explain, features, labels, resample, rules, score, split, train
 from radiolens.operators.features import COVERAGE_FEATURES, UMTS_FEATURES
 from radiolens.plans.stage import materialize, scratch_path
 from radiolens.sources import store
@@ -306,10 +306,23 @@ def _(t):
     return rows.select("event_id", F.col("predicted_class").isin(meta["labels"]).alias("known"), F.col("confidence").between(0, 100).alias("sure"))
 
 
-@check("validation_vectors")
+@check("validation_vectors", COVERED + f"""select unnest({[*['coverage'] * 4, *['qos'] * 4]}) as kind,
+  unnest({[s[0] for s in (*score.COVERAGE_SAMPLES, *score.QOS_SAMPLES)]}) as expected, true as known, true as sure, true as compared
+  from (select 1 from covered limit 1)""", ("lte_raw",))
 def _(t):
+    """The known rows of both kinds, each with a class of its model; the quality model learns the guideline's classes."""
+    rows = coverage_table(t)
     model, names = coverage_model(t)
-    return score.validation_vectors(model, score.coverage_samples(t.spark), names)
+    guided = rules.qos_guideline_class(rows)
+    quality, classes = train.train_coverage_forest(guided, score.QOS_FEATURES, label="qos_class", sizes=SMALL)
+    parts = []
+    for kind, m, samples, labels_ in (
+        ("coverage", model, score.coverage_samples(t.spark), names), ("qos", quality, score.qos_samples(t.spark), classes)):
+        table = score.validation_vectors(m, samples, labels_)
+        parts.append(table.select(
+            F.lit(kind).alias("kind"), "expected", F.col("got").isin(labels_).alias("known"), F.col("confidence").between(0, 100).alias("sure"),
+            (F.col("matches") == (F.col("got") == F.col("expected"))).alias("compared")))
+    return parts[0].unionByName(parts[1])
 
 
 @check("feature_importance", COVERED + f"""select {len(COVERAGE_FEATURES) + 1} as features, 1.0::double as total, 0.0::double as least, 0.0::double as flat
