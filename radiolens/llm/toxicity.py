@@ -74,11 +74,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def telling(rows: np.ndarray, slots: np.ndarray, y: np.ndarray, z: float, least: int) -> np.ndarray:
+def telling(terms: list[np.ndarray], y: np.ndarray, z: float, least: int) -> np.ndarray:
     """Slots whose share of texts differs between the labels by over ``z`` standard errors."""
     n1, n0 = y.sum(), (1 - y).sum()
-    a = np.bincount(slots, y[rows], SLOTS)
-    both = np.bincount(slots, minlength=SLOTS)
+    a, both = np.zeros(SLOTS), np.zeros(SLOTS, dtype=np.int64)
+    for t, label in zip(terms, y):  # the slots of a text are distinct
+        both[t] += 1
+        a[t] += label
     share = both / (n1 + n0)
     with np.errstate(divide="ignore", invalid="ignore"):
         score = (a / n1 - (both - a) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
@@ -90,13 +92,13 @@ def fit_machine(
     rate: float = 0.1, decay: float = 1e-4, seed: int = 42,
 ) -> Machine:
     """Adagrad on the logistic loss over all rows; the same rows in the same order give the same model."""
-    rows = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    slots = np.concatenate(terms).astype(np.int64) if terms else np.zeros(0, np.int64)
-    kept = telling(rows, slots, y, z, least) if 0 < y.sum() < len(y) else np.zeros(0, np.int64)
+    terms = [np.asarray(t, dtype=np.int32) for t in terms]
+    kept = telling(terms, y, z, least) if 0 < y.sum() < len(y) else np.zeros(0, np.int64)
     at = np.full(SLOTS, -1)
     at[kept] = np.arange(len(kept))
-    inside = at[slots] >= 0
-    rows, places = rows[inside], at[slots][inside]
+    places = [here[here >= 0] for here in (at[t] for t in terms)]  # few of a text's terms are left
+    rows = np.repeat(np.arange(len(terms)), [len(p) for p in places])
+    places = np.concatenate(places) if places else np.zeros(0, np.int64)
     share = (y.sum() + 0.5) / (len(y) + 1)
     m = Machine(float(np.log(share / (1 - share))), kept, np.zeros(len(kept)), np.random.default_rng(seed).normal(0, 0.01, (len(kept), factors)))
     sums = [1e-8, np.full(len(kept), 1e-8), np.full((len(kept), factors), 1e-8)]
@@ -129,7 +131,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, r
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["rank", "y"], kind="stable")
-        m = fit_machine([np.asarray(t) for t in frame["terms"]], (frame["y"].to_numpy() == 1).astype(float))
+        m = fit_machine(list(frame["terms"]), (frame["y"].to_numpy() == 1).astype(float))
         slots = np.array(list(m.place), dtype=np.int64)
         return pd.DataFrame({"bias": [m.bias], "slots": [slots.tobytes()], "weights": [m.weights.tobytes()], "factors": [m.factors.tobytes()]})
 
