@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -113,36 +114,42 @@ class Codec:
     def __init__(self, lines: bytes, pattern: str):
         self.ranks = read_ranks(lines)
         self.pieces = regex.compile(pattern).findall
-        self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.tokens = tokens_of(self.ranks)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        ids: list[int] = []
-        known, add = self.known.get, ids.extend
-        for piece in self.pieces(text):
-            found = known(piece)
+        """Packed ids; the pre-tokens of a text are looked up together, those not met before are merged."""
+        pieces = self.pieces(text)
+        new = set(pieces).difference(self.known)
+        if new and self.known and len(self.known) + len(new) > REMEMBERED:
+            self.known, self.older = {}, self.known
+            new = set(pieces)
+        for piece in new:
+            found = self.older.get(piece)
             if found is None:
-                found = self._piece(piece)
-                known = self.known.get
-            add(found)
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _piece(self, piece: str) -> list[int]:
-        """Ids of a pre-token that is not among those met last."""
-        found = self.older.get(piece)
-        if found is None:
-            found = encode_piece(piece.encode(), self.ranks)
-        if len(piece) <= SHORT:
-            if len(self.known) >= REMEMBERED:
-                self.known, self.older = {}, self.known
+                ids = encode_piece(piece.encode(), self.ranks)
+                found = pack(f"<{len(ids)}I", *ids)
             self.known[piece] = found
-        return found
+        packed = b"".join(map(self.known.__getitem__, pieces))
+        for piece in new:
+            if len(piece) > SHORT:
+                del self.known[piece]
+        return packed
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return join_tokens(ids, self.tokens)
+
+
+def tokens_of(ranks: dict[bytes, int]) -> list[bytes]:
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def join_tokens(ids: bytes, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
 def _lines(docs: DataFrame, vocabulary: str):
@@ -175,9 +182,9 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "d
 
     @F.pandas_udf("binary")
     def bytes_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(held.value, "")
+        tokens = tokens_of(read_ranks(held.value))
         for packed in batches:
-            yield pd.Series([codec.decode(x) if x else b"" for x in packed], dtype=object)
+            yield pd.Series([join_tokens(x, tokens) if x else b"" for x in packed], dtype=object)
 
     return docs.withColumn(decoded, bytes_of(F.col(ids)))
 

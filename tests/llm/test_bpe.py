@@ -24,19 +24,29 @@ def library(ranks):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_rank_queue_is_a_priority_queue():
+def naive(piece, ranks):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not pairs:
+            return [ranks[p] for p in parts]
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_merges_by_rank_then_place():
+    """Random ranks, also such that a merge makes pairs of a lower rank than its own."""
     rng = random.Random(1)
-    queue, held = bpe.RankQueue(), []
-    for _ in range(5000):
-        if held and rng.random() < 0.45:
-            assert queue.pop() == held.pop(held.index(min(held)))
-        else:
-            item = (rng.choice([rng.randrange(50_256), rng.randrange(70), 50_255]), rng.randrange(99))
-            held.append(item)
-            queue.push(*item)
-    while held:
-        assert queue.pop() == held.pop(held.index(min(held)))
-    assert not queue.top
+    for _ in range(300):
+        letters = [b"a", b"b", b"c"]
+        tokens = set(letters)
+        while len(tokens) < 40:
+            tokens.add(rng.choice(sorted(tokens)) + rng.choice(sorted(tokens)))
+        order = sorted(tokens)
+        rng.shuffle(order)
+        ranks = {t: r * rng.choice([1, 300]) + i for i, (t, r) in enumerate(zip(order, range(len(order))))}
+        piece = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 60)))
+        assert bpe.encode_piece(piece, ranks) == ([ranks[piece]] if piece in ranks else naive(piece, ranks))
 
 
 TEXTS = [
