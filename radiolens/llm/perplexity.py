@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from radiolens.llm.common import Stages, whole
 
 ORDER = 4
-CHUNK_BYTES = 1 << 22  # of text counted at a time
+CHUNK_BYTES = 1 << 20  # of text counted at a time
 FLUSH = 4_000_000  # distinct n-grams that a task holds before it hands them on
-SHARD_ROWS = 4_000_000  # n-grams in one broadcast shard
+SHARD_ROWS = 2_000_000  # n-grams in one broadcast shard
 BINS = 1000  # thresholds are exact to this part of a log perplexity
 UNIFORM = 1 / 256
 
@@ -149,11 +149,15 @@ def _lookups(table: DataFrame, order: int, shard_rows: int) -> list:
     out = []
     for shard in range(shards):
         part = table.where(F.pmod(F.xxhash64("lang", "code"), F.lit(shards)) == shard)
-        frame = part.toPandas()  # at most about SHARD_ROWS rows
+        rows = part.select("lang", "code", "logp").toArrow()  # at most about SHARD_ROWS rows
+        names = rows["lang"].combine_chunks().dictionary_encode()
+        which, code, logp = names.indices.to_numpy(), rows["code"].to_numpy(), rows["logp"].to_numpy()
         held = {}
-        for lang, rows in frame.groupby("lang"):
-            rows = rows.sort_values("code")
-            held[lang] = rows["code"].to_numpy(), rows["logp"].to_numpy().astype(np.float64)
+        for i, lang in enumerate(names.dictionary.to_pylist()):
+            own = np.flatnonzero(which == i)
+            own = own[np.argsort(code[own])]
+            held[lang] = code[own], logp[own]
+        del rows, names, which, code, logp
         sent = spark.sparkContext.broadcast(held)
 
         def looked_up(sent=sent):
@@ -194,7 +198,8 @@ def score_quality(
     """
     stages = Stages(docs.sparkSession)
     good = trusted.where(F.col(key).isNotNull()).select(F.col(key).alias("good")).distinct()
-    learned = docs.join(good, F.col(key) == F.col("good")).select(*_texts(docs, text, lang))
+    # one plan at every size: texts meet the ids in a merge join, however few ids there are
+    learned = docs.join(good.hint("merge"), F.col(key) == F.col("good")).select(*_texts(docs, text, lang))
     counts = learned.mapInPandas(counted(order), "lang string, code long, n long")
     first = stages.write(counts.groupBy("lang", "code").agg(F.sum("n").alias("n")), "ngrams")
     counts, contexts = count_tables(first, order, stages)
