@@ -1,8 +1,8 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
 A bounded sample of vectors serves as pivots. Every vector is described by its nearest pivots in order, and
-stands in the inverted list of each of them. Two vectors of one list are candidates if they share enough
-pivots; candidates are verified by their cosine. A pair that meets in several lists is counted in the list
+stands in the inverted list of each of them. Two vectors of one list are linked if they share enough pivots
+and their cosine is large enough; the cosines of a tile are one product and come first. A pair that meets in several lists is counted in the list
 of its smallest shared pivot only. Tasks return link counts and spanning links, not pairs.
 """
 
@@ -21,9 +21,15 @@ from radiolens.llm.simhash import link
 #: One pivot for so many distinct vectors, at least and at most so many.
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 32, 64, 4096
 APART = 0.8  # pivots are no nearer to one another (cosine), so a large group of near copies has few
-NEAREST, SHARED = 6, 2  # pivots of a vector; pivots that candidates share
+NEAREST, SHARED = 6, 2  # pivots of a vector, at least (see nearest_of); pivots that candidates share
 LIST_ROWS = 50_000  # rows from which a list is cut into blocks
 TILE = 1024  # rows multiplied at a time
+PAIRS = 1 << 17  # pairs whose pivots are compared at a time
+
+
+def nearest_of(pivots: int) -> int:
+    """Pivots of a vector: more where there are more to choose from, or near vectors would share too few."""
+    return max(NEAREST, (pivots - 1).bit_length() - 1)
 
 
 def payload(values) -> bytes | None:
@@ -58,15 +64,6 @@ def thinned(candidates: np.ndarray, apart: float, most: int) -> np.ndarray:
     return kept[:n]
 
 
-def shared_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many pivots each row of ``a`` shares with each row of ``b``."""
-    out = np.zeros((len(a), len(b)), dtype=np.int8)
-    for x in a.T:
-        for y in b.T:
-            out += x[:, None] == y[None, :]
-    return out
-
-
 def compare(a: pd.DataFrame, b: pd.DataFrame | None, pivot: int, width: int, least: float, shared: int) -> pd.DataFrame:
     """(gid, n, root) of the linked rows of one list (``b`` None) or of two of its blocks."""
     rows = a if b is None else pd.concat([a, b], ignore_index=True)
@@ -76,24 +73,26 @@ def compare(a: pd.DataFrame, b: pd.DataFrame | None, pivot: int, width: int, lea
     for s in range(0, cut, TILE):
         for t in range(s if b is None else cut, len(rows), TILE):
             left, right = slice(s, min(s + TILE, cut)), slice(t, t + TILE)
-            candidates = shared_counts(p[left], p[right]) >= shared
+            near = v[left] @ v[right].T >= least
             if s == t:
-                candidates = np.triu(candidates, 1)
-            if not candidates.any():
-                continue
-            i, j = np.nonzero(candidates & (v[left] @ v[right].T >= least))
-            i, j = i + s, j + t
-            both = np.where((p[i][:, :, None] == p[j][:, None, :]).any(axis=2), p[i], np.iinfo(np.int32).max).min(axis=1)
-            i, j = i[both == pivot], j[both == pivot]
-            n += np.bincount(i, copies[j], len(rows)).astype(np.int64) + np.bincount(j, copies[i], len(rows)).astype(np.int64)
-            link(root, i, j)
+                near = np.triu(near, 1)
+            every = np.nonzero(near)
+            for at in range(0, len(every[0]), PAIRS):
+                i, j = (x[at : at + PAIRS] for x in every)
+                i, j = i + s, j + t
+                hits = (p[i][:, :, None] == p[j][:, None, :]).any(axis=2)
+                both = np.where(hits, p[i], np.iinfo(np.int32).max).min(axis=1)
+                own = (hits.sum(axis=1) >= shared) & (both == pivot)
+                i, j = i[own], j[own]
+                n += np.bincount(i, copies[j], len(rows)).astype(np.int64) + np.bincount(j, copies[i], len(rows)).astype(np.int64)
+                link(root, i, j)
     found = n > 0
     gid = rows["gid"].to_numpy()
     return pd.DataFrame({"gid": gid[found], "n": n[found], "root": gid[root[found]]})
 
 
 def vector_groups(
-    vectors: DataFrame, least: float = 0.9, vector: str = "embedding", key: str = "vec_id", nearest: int = NEAREST,
+    vectors: DataFrame, least: float = 0.9, vector: str = "embedding", key: str = "vec_id", nearest: int | None = None,
     shared: int = SHARED, list_rows: int = LIST_ROWS,
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
@@ -107,7 +106,8 @@ def vector_groups(
     not kept. Rows that repeat an id are the same node. Empty table: no rows. Other columns are ignored.
 
     Pivots: ``n / PER_PIVOT`` of the distinct vectors, within documented bounds, so lists keep their size
-    as the table grows until the upper bound; a longer list is cut into blocks and its pairs of blocks are
+    as the table grows until the upper bound. ``nearest``: pivots of a vector, by ``nearest_of`` if not given;
+    they grow with the logarithm of the pivots, which keeps the recall. A longer list is cut into blocks and its pairs of blocks are
     separate tasks. Every vector is indexed and nothing is capped.
     """
     spark = vectors.sparkSession
@@ -131,7 +131,7 @@ def vector_groups(
     sample = [bytes(r.v) for r in groups.select("v", "h").orderBy("h").limit(2 * wanted).collect()]
     width = (width - 1) // 4  # of the longest vector, or more
     held = spark.sparkContext.broadcast(thinned(units(sample, width), APART, wanted))
-    count = min(nearest, len(held.value))
+    count = min(nearest or nearest_of(len(held.value)), len(held.value))
     enough = min(shared, count)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from radiolens.llm import vectors
 from radiolens.llm.vectors import vector_groups
 from tests.llm.test_simhash import groups
 
@@ -49,6 +50,24 @@ def test_recall_on_the_given_tables(spark, at):
     assert sum(out[i].component_id == name[i] for i in name) >= 0.99 * len(name)
 
 
+@pytest.mark.parametrize(("pivots", "low"), [(1024, 0.90), (4096, 0.90), (4096, 0.95)])
+def test_recall_of_planted_pairs_with_many_pivots(spark, monkeypatch, pivots, low):
+    """As many pivots as a large table has; each planted pair has a cosine from ``low`` to 0.01 above."""
+    monkeypatch.setattr(vectors, "LEAST_PIVOTS", pivots)
+    rng = np.random.default_rng(pivots)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, c = unit(rng.normal(size=(8000, 64))), rng.uniform(low, low + 0.01, size=(2000, 1))
+    aside = rng.normal(size=(2000, 64))
+    aside = unit(aside - (aside * a[:2000]).sum(axis=1, keepdims=True) * a[:2000])
+    rows = [(i, v.tolist()) for i, v in enumerate([*a, *(c * a[:2000] + np.sqrt(1 - c * c) * aside)])]
+    want, _ = brute(rows)
+    out = {r.vec_id: r.n_links for r in vector_groups(frame(spark, rows)).collect()}
+    assert all(out[i] <= n for i, n in want.items())
+    recall = sum(out.values()) / sum(want.values())
+    print(pivots, low, recall)
+    assert recall >= 0.98
+
+
 def test_vectors_without_direction(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]),
             (8, [float("inf"), 1.0]), (None, [1.0, 0.0]), (9, [1e300, 0.0]), (9, [1e300, 0.0]), (10, [0.0, 1.0])]
