@@ -2,7 +2,8 @@
 
 The patterns give base spans, which always stay. The field has a node for every token with a digit or an @;
 neighbouring tokens share a chain potential, and tokens that repeat or resemble one another anywhere in the
-document (the same token, the same last seven digits, the same name before an @) share a skip potential.
+document (the same token, the same last seven digits, the same name before an @) share a skip potential with
+one of them, the hub: one inside a base span if there is any, so every mention is one step from it.
 Base spans fix their tokens' labels; loopy message passing carries them to the other mentions. Weights are
 learned by pseudo-likelihood from the base spans of a bounded sample, from features that do not contain the
 patterns' own checks; a token outside all spans that resembles one inside has no known label and is left out.
@@ -26,6 +27,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0: none
 CHAIN, SAME, DIGITS, NAME = range(4)  # kinds of edges
 SLOTS = 1 << 12  # hashed features
+MOST_ROUNDS = 1000  # of message passing, where loops keep it from settling
 #: At most so many documents, and of these at most so many tokens, fit the weights.
 TRAIN_DOCS, TRAIN_TOKENS = 5_000, 50_000
 
@@ -109,15 +111,6 @@ class Graph:
             keys[0].append("".join(filter(str.isalnum, core)).lower())
             keys[1].append(digits[-7:] if len(digits) >= 7 else "")
             keys[2].append(core.split("@")[0].lower() if core.find("@") >= 4 else "")
-        edges = [(i, i + 1, CHAIN) for i in range(len(self.nodes) - 1) if self.nodes[i + 1] == self.nodes[i] + 1]
-        for kind, own in zip((SAME, DIGITS, NAME), keys):
-            last: dict[str, int] = {}
-            for i, key in enumerate(own):  # each mention is tied to the one before it
-                if key:
-                    if key in last:
-                        edges.append((last[key], i, kind))
-                    last[key] = i
-        self.edges = np.array(edges, dtype=np.int64).reshape(-1, 3)
         self.fixed = np.zeros(len(self.nodes), dtype=np.int64)
         starts = [tokens[k].start() for k in self.nodes]
         for label, start, end in spans:
@@ -127,6 +120,16 @@ class Graph:
             while first < len(starts) and starts[first] < end:
                 self.fixed[first] = label
                 first += 1
+        edges = [(i, i + 1, CHAIN) for i in range(len(self.nodes) - 1) if self.nodes[i + 1] == self.nodes[i] + 1]
+        for kind, own in zip((SAME, DIGITS, NAME), keys):
+            mentions: dict[str, list[int]] = {}
+            for i, key in enumerate(own):
+                if key:
+                    mentions.setdefault(key, []).append(i)
+            for of_key in mentions.values():
+                hub = next((i for i in of_key if self.fixed[i]), of_key[0])
+                edges += [(hub, i, kind) for i in of_key if i != hub]
+        self.edges = np.array(edges, dtype=np.int64).reshape(-1, 3)
 
     def tied_only(self) -> np.ndarray:
         """Nodes outside base spans that a skip edge ties to one inside: not known to be none."""
@@ -151,8 +154,8 @@ class Field:
     def __init__(self, unary: np.ndarray, pair: np.ndarray):
         self.unary, self.pair = unary, pair
 
-    def marginals(self, graph: Graph, rounds: int = 20, damp: float = 0.5) -> np.ndarray:
-        """Label probabilities of the nodes by damped sum-product message passing in log space."""
+    def marginals(self, graph: Graph, rounds: int = MOST_ROUNDS, damp: float = 0.5) -> np.ndarray:
+        """Label probabilities of the nodes by damped sum-product message passing in log space, until no message moves."""
         own = self.unary[np.array(graph.features)].sum(axis=1)
         fixed = graph.fixed > 0
         own[fixed] = -50.0

@@ -77,6 +77,20 @@ def test_repeated_mentions_are_found(spark, docs_of):
     assert base == [(private.KINDS[k - 1], a, b) for k, a, b in brute(full[5][1])]
 
 
+def test_a_hundred_mentions_are_found_at_any_distance(spark, docs_of):
+    filler = " and some words in between " * 3
+    full = [(i, f"call +1 ({i:03d}) 555-{7000 + i} soon{filler}call 555-{7000 + i} again") for i in range(200)]
+    plain = [(1000 + i, f"there were {i} of {i * 7} things in {1900 + i} and 3.{i} more") for i in range(200)]
+    first, last = "call +1 (017) 555-9999 please", " then 555-9999 of" + filler
+    texts = {5000: first + filler + last * 100, 5001: last * 50 + first + filler + last * 50, 5002: last * 100 + first}
+    rows = {r.doc_id: r for r in find_private(docs_of([*full, *plain, *texts.items()])).collect()}
+    for i, text in texts.items():
+        want = {m.start() for m in re.finditer("(?<=then )555-9999", text)}
+        assert len(want) == 100
+        assert {s.start for s in rows[i].spans if s.kind == "phone" and not s.base} == want
+    assert all(not rows[i].spans for i, _ in plain)
+
+
 def test_message_passing_on_a_tree_is_exact():
     import itertools
 
