@@ -3,7 +3,7 @@
 Every run of three consecutive lines is hashed to 128 bits. A hash that occurs more than once is a repeated
 window; its first occurrence, by id and place, stays, and the lines that any later occurrence covers go. A
 run of one or two lines with more than ``long_words`` words counts as a window too: it holds as much as
-three usual lines, and a passage inside a document is found whatever its line breaks are.
+three usual lines. Windows are whole lines: a passage that begins or ends inside a line is not found.
 """
 
 from __future__ import annotations
