@@ -13,11 +13,6 @@ from radiolens.operators.features import COVERAGE_FEATURES, UMTS_FEATURES
 from radiolens.plans.stage import materialize, scratch_path
 from radiolens.sources import store
 
-# Ensembles of the registered runs; the library's defaults are the full sizes.
-SMALL = train.TreeSizes(
-    coverage_rounds=6, coverage_depth=4, umts_trees=10, umts_depth=8, umts_rounds=6, handover_trees=10, handover_rounds=6)
-
-
 @check("time_split", """
 with r as (select event_id, row_number() over (order by ts, event_id) - 1 as i, count(*) over () as n from umts)
 select event_id, case when i < floor(n * 0.70::double) then 'train' when i < floor(n * 0.85::double) then 'validation'
@@ -149,7 +144,7 @@ def coverage_table(t):
 
 
 def coverage_model(t):
-    return train.train_coverage_forest(coverage_table(t), COVERAGE_FEATURES, sizes=SMALL)
+    return train.train_coverage_forest(coverage_table(t), COVERAGE_FEATURES)
 
 
 @check("train_coverage", COVERED_ZONES + """select coverage_zone, floor(n * 0.2::double + 0.5)::bigint as n, true as known, true as sure
@@ -157,7 +152,7 @@ def coverage_model(t):
 def _(t):
     """Boosted one-vs-rest on scaled and rebalanced rows: every test row of a zone gets a zone, with a confidence."""
     rows = materialize(split.stratified_split(coverage_table(t), "coverage_zone", "event_id"))
-    model, names = train.train_coverage(rows.where("split = 'train'"), COVERAGE_FEATURES, sizes=SMALL)
+    model, names = train.train_coverage(rows.where("split = 'train'"), COVERAGE_FEATURES)
     scored = score.score(model, rows.where("split = 'test'"), names)
     return scored.groupBy("coverage_zone").agg(
         F.count(F.lit(1)).alias("n"), F.every(F.col("predicted_class").isin(names)).alias("known"),
@@ -204,7 +199,7 @@ def _(t):
     threshold is applied, and the whole stored and loaded pipeline gives the same probabilities from cleaned rows.
     """
     table = materialize(umts_table(t))
-    fitted = train.train_umts_tasks(table, NOTEBOOK_FEATURES, sizes=SMALL)
+    fitted = train.train_umts_tasks(table, NOTEBOOK_FEATURES)
     gaps = {}
     for (task, name), model in fitted.models.items():
         path = scratch_path(t.spark, "model")
@@ -244,7 +239,7 @@ def _(t):
     """Test rows and positives of each task and model; the four counts of the evaluation add up to them."""
     from radiolens.operators.evaluate import evaluate
 
-    fitted = train.train_handover_tasks(handover_table(t), UMTS_FEATURES, sizes=SMALL)
+    fitted = train.train_handover_tasks(handover_table(t), UMTS_FEATURES)
     sizes = fitted.predictions.groupBy("task", "model").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y_true").cast("bigint")).alias("positives"))
     table = evaluate(fitted.predictions).join(sizes, ["task", "model"])
     right = (F.col("tp") + F.col("fn") == F.col("positives")) & (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn") == F.col("n"))
@@ -259,7 +254,7 @@ def _(t):
     for task in train.HANDOVER_TASKS:
         rows = table.withColumn("y_true", F.col(task).cast("double"))
         rows = materialize(split.stratified_folds(split.standard_scale(rows, rows, UMTS_FEATURES), task, "event_id"))
-        parts.append(train.cross_validate(rows, UMTS_FEATURES, train.handover_models(rows.count(), SMALL), task, rebalance=True))
+        parts.append(train.cross_validate(rows, UMTS_FEATURES, train.handover_models(rows.count()), task, rebalance=True))
     rows = parts[0].unionByName(parts[1])
     bounded = [F.col(f"cv_{c}").between(0, 1) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")]
     return rows.select("task", "model", (bounded[0] & bounded[1] & bounded[2] & bounded[3] & bounded[4]).alias("bounded"),
@@ -314,7 +309,7 @@ def _(t):
     rows = coverage_table(t)
     model, names = coverage_model(t)
     guided = rules.qos_guideline_class(rows)
-    quality, classes = train.train_coverage_forest(guided, score.QOS_FEATURES, label="qos_class", sizes=SMALL)
+    quality, classes = train.train_coverage_forest(guided, score.QOS_FEATURES, label="qos_class")
     parts = []
     for kind, m, samples, labels_ in (
         ("coverage", model, score.coverage_samples(t.spark), names), ("qos", quality, score.qos_samples(t.spark), classes)):
@@ -330,7 +325,7 @@ def _(t):
 def _(t):
     """One share per feature, none negative, in sum one; a constant column has none."""
     rows = coverage_table(t).withColumn("flat", F.lit(1.0))
-    model, _ = train.train_coverage_forest(rows, (*COVERAGE_FEATURES, "flat"), sizes=SMALL)
+    model, _ = train.train_coverage_forest(rows, (*COVERAGE_FEATURES, "flat"))
     table = explain.feature_importance(t.spark, model, (*COVERAGE_FEATURES, "flat"))
     return table.agg(F.count(F.lit(1)).cast("int").alias("features"), F.round(F.sum("importance"), 6).alias("total"),
                      F.least(F.min("importance"), F.lit(0.0)).alias("least"), F.max(F.when(F.col("feature") == "flat", F.col("importance"))).alias("flat"))
@@ -344,7 +339,7 @@ def _(t):
     rows = rows.withColumn("flat", F.lit(0.0))
     names = (*UMTS_FEATURES, "flat")
     scaled = materialize(split.standard_scale(rows, rows, names).select("event_id", "y_true", *names))
-    estimator = train.handover_models(scaled.count(), SMALL)["LogisticRegression"]
+    estimator = train.handover_models(scaled.count())["LogisticRegression"]
     model = train.assembled(names, estimator).fit(scaled)
     falls = explain.permutation_importance(model, scaled, names)
     still = (F.col("importance") == 0) & (F.col("spread") == 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from radiolens.catalog.base import check, rounded
-from radiolens.catalog.models import COVERED, SMALL, coverage_table
+from radiolens.catalog.models import COVERED, coverage_table
 from radiolens.catalog.windows import HO_SQL, frame
 from radiolens.plans.stage import scratch_path
 from radiolens.streaming import live
@@ -81,7 +81,7 @@ def _(t):
     from radiolens.operators.train import train_coverage_forest
 
     rows = coverage_table(t)
-    model, labels = train_coverage_forest(rows, COVERAGE_FEATURES, sizes=SMALL)
+    model, labels = train_coverage_forest(rows, COVERAGE_FEATURES)
     path = scratch_path(t.spark, "features-arriving")
     rows.write.parquet(path)
     stream = t.spark.readStream.schema(rows.schema).parquet(path)
