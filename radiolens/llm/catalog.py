@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiolens.llm import bpe
-from radiolens.llm.common import table
+from radiolens.llm.common import WORD, table, whole
 from radiolens.llm.exact import exact_duplicates
 from radiolens.llm.lines import dedup_lines
 from radiolens.llm.mixing import mix_sources
 from radiolens.llm.pages import main_text
 from radiolens.llm.perplexity import score_quality
 from radiolens.llm.private import KINDS, find_private, written
+from radiolens.llm.repeats import longest_run, periodic_runs
 from radiolens.llm.simhash import simhash_groups
 from radiolens.llm.toxicity import held_out, score_toxicity
 from radiolens.llm.vectors import vector_groups
@@ -168,3 +169,29 @@ def _pages(spark, sf_dir):
 def _quality(spark, sf_dir):
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return score_quality(table(spark, sf_dir, "documents"), trusted, quantile=0.99, slack=1.05)
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """One document in ten, by the CRC-32 of its id, with its words from a place on repeating the first few of them."""
+    docs = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    g = F.floor(F.col("h") / 10)
+    words = docs.where("h % 10 = 0").withColumn("w", F.regexp_extract_all(whole(F.col("text")), F.lit(WORD), F.lit(0)))
+    words = words.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, g % F.col("n")).cast("int"))
+    words = words.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    tail = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)")
+    told = F.when(F.col("n") > 0, F.array_join(F.concat(F.expr("slice(w, 1, a)"), tail), " "))
+    same = docs.where("h % 10 <> 0 or h is null").select("doc_id", "text")
+    return same.union(words.select("doc_id", told.alias("text")))
+
+
+@query("op11_periodic_runs")
+def _runs(spark, sf_dir):
+    rows = periodic_runs(repeating(table(spark, sf_dir, "documents")), least=6)
+    rows = rows.withColumn("longest", longest_run(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "longest.start", "longest.length", "longest.period",
+        F.floor(1000 * F.col("longest.length") / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
