@@ -17,6 +17,7 @@ from radiolens.llm.pages import main_text
 from radiolens.llm.perplexity import score_quality
 from radiolens.llm.private import KINDS, find_private, written
 from radiolens.llm.repeats import longest_run, periodic_runs
+from radiolens.llm.shards import shard_rows
 from radiolens.llm.simhash import simhash_groups
 from radiolens.llm.toxicity import held_out, score_toxicity
 from radiolens.llm.vectors import vector_groups
@@ -195,3 +196,12 @@ def _runs(spark, sf_dir):
         F.floor(1000 * F.col("longest.length") / F.col("longest.period")).alias("exponent_milli"),
         F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op12_feistel_shards")
+def _shards(spark, sf_dir):
+    text = whole(F.col("text")).cast("binary")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return shard_rows(rows, 16, seed=42).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
