@@ -19,6 +19,7 @@ from radiolens.llm.private import KINDS, find_private, written
 from radiolens.llm.repeats import longest_run, periodic_runs
 from radiolens.llm.shards import shard_rows
 from radiolens.llm.simhash import simhash_groups
+from radiolens.llm.spelling import count_words, spelling_variants, worn_words
 from radiolens.llm.toxicity import held_out, score_toxicity
 from radiolens.llm.vectors import vector_groups
 
@@ -205,3 +206,9 @@ def _shards(spark, sf_dir):
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     return shard_rows(rows, 16, seed=42).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op13_spelling_variants")
+def _spelling(spark, sf_dir):
+    tokens = worn_words(table(spark, sf_dir, "documents"), run=r"[A-Za-z\u00C0-\u00FF]+", every=97)
+    return spelling_variants(count_words(tokens, shortest=5, least=3), ratio=2)
