@@ -10,9 +10,12 @@ O(n log n), so a text without any white space is no special case.
 from __future__ import annotations
 
 import base64
+import sys
 from collections.abc import Iterator
+from hashlib import md5
 from heapq import heappop, heappush
 from struct import pack
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -20,8 +23,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens up to this many characters are remembered, the last so many for each task, at most twice as many.
-SHORT, REMEMBERED = 64, 200_000
+#: Pre-tokens up to this many characters are remembered by a worker process, those met last, in so many bytes at most.
+SHORT, REMEMBERED = 64, 160 << 20
+#: Bytes of an entry beside its pre-token and ids.
+ENTRY = 200
 #: Ranks in a word of the bitmap: Python's integers make two levels enough.
 SHIFT = 8
 LOW = (1 << SHIFT) - 1
@@ -117,24 +122,26 @@ class Codec:
         self.tokens = tokens_of(self.ranks)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of ``known``; it becomes ``older`` at half of what may be remembered
 
     def encode(self, text: str) -> bytes:
         """Packed ids; the pre-tokens of a text are looked up together, those not met before are merged."""
         pieces = self.pieces(text)
-        new = set(pieces).difference(self.known)
-        if new and self.known and len(self.known) + len(new) > REMEMBERED:
-            self.known, self.older = {}, self.known
-            new = set(pieces)
+        if self.held > REMEMBERED // 2:
+            self.known, self.older, self.held = {}, self.known, 0
+        known = self.known
+        new = set(pieces).difference(known)
         for piece in new:
             found = self.older.get(piece)
             if found is None:
                 ids = encode_piece(piece.encode(), self.ranks)
                 found = pack(f"<{len(ids)}I", *ids)
-            self.known[piece] = found
-        packed = b"".join(map(self.known.__getitem__, pieces))
+            known[piece] = found
+            self.held += ENTRY + len(piece) + len(found)
+        packed = b"".join(map(known.__getitem__, pieces))
         for piece in new:
             if len(piece) > SHORT:
-                del self.known[piece]
+                self.held -= ENTRY + len(piece) + len(known.pop(piece))
         return packed
 
     def decode(self, ids: bytes) -> bytes:
@@ -152,10 +159,25 @@ def join_tokens(ids: bytes, tokens: list[bytes]) -> bytes:
     return b"".join(map(tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def _lines(docs: DataFrame, vocabulary: str):
-    """The rank file in a broadcast: read where the driver runs, bounded by the vocabulary's size."""
+def _vocabulary(docs: DataFrame, vocabulary: str, pattern: str):
+    """A function that gives a task the codec of its worker process.
+
+    The rank file is read where the driver runs and broadcast, bounded by the vocabulary's size. A codec outlives the
+    task, so what it has merged once is known to the next task of the worker; it stands among the process's
+    modules because this package need not be installed there.
+    """
     with open(vocabulary, "rb") as file:
-        return docs.sparkSession.sparkContext.broadcast(file.read())
+        lines = file.read()
+    name = (md5(lines).hexdigest(), pattern)
+    held = docs.sparkSession.sparkContext.broadcast(lines)
+
+    def codec() -> Codec:
+        kept = sys.modules.setdefault("radiolens_codecs", ModuleType("radiolens_codecs")).__dict__
+        if name not in kept:
+            kept[name] = Codec(held.value, pattern)
+        return kept[name]
+
+    return codec
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -165,29 +187,47 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
     ordinary text. NULL and empty texts: no ids. One row for each input row, repeated rows included; all
     other columns stay, one with the name of ``ids`` is replaced.
     """
-    held = _lines(docs, vocabulary)
+    codec = _vocabulary(docs, vocabulary, pattern)
 
     @F.pandas_udf("binary")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(held.value, pattern)
+        one = codec()
         for texts in batches:
-            yield pd.Series([codec.encode(x) if x else b"" for x in texts], dtype=object)
+            yield pd.Series([one.encode(x) if x else b"" for x in texts], dtype=object)
 
     return docs.withColumn(ids, encoded(F.col(text).cast("string")))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with a binary column ``decoded``: the bytes of the ids. NULL or no ids: no bytes."""
-    held = _lines(docs, vocabulary)
+    codec = _vocabulary(docs, vocabulary, "")
 
     @F.pandas_udf("binary")
     def bytes_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = tokens_of(read_ranks(held.value))
+        one = codec()
         for packed in batches:
-            yield pd.Series([join_tokens(x, tokens) if x else b"" for x in packed], dtype=object)
+            yield pd.Series([one.decode(x) if x else b"" for x in packed], dtype=object)
 
     return docs.withColumn(decoded, bytes_of(F.col(ids)))
 
 
+def round_trip(
+    docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """``encode`` and then ``decode`` of its ids in one pass: a task needs one worker and one codec for both."""
+    codec = _vocabulary(docs, vocabulary, pattern)
+
+    @F.pandas_udf("struct<ids: binary, decoded: binary>")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        one = codec()
+        for texts in batches:
+            packed = [one.encode(x) if x else b"" for x in texts]
+            yield pd.DataFrame({"ids": packed, "decoded": [one.decode(x) for x in packed]}, dtype=object)
+
+    held = "ids and bytes of the text"
+    done = docs.withColumn(held, both(F.col(text).cast("string")))
+    return done.withColumns({ids: F.col(held)["ids"], decoded: F.col(held)["decoded"]}).drop(held)
+
+
 def n_tokens(ids: str = "ids") -> Column:
     return (F.octet_length(ids) / 4).cast("long")

@@ -92,17 +92,19 @@ def _exact(spark, sf_dir):
 
 @query("op2_byte_bpe")
 def _bpe(spark, sf_dir):
-    rows = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), **VOCABULARY, **PATTERN)
-    rows = bpe.decode(rows, **VOCABULARY)
+    rows = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), **VOCABULARY, **PATTERN)
     return rows.select(
         "doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
+SIMHASH = dict(shingle=3, budget=3)
+
+
 @query("op7_simhash")
 def _simhash(spark, sf_dir):
-    return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, budget=3)
+    return simhash_groups(table(spark, sf_dir, "documents"), **SIMHASH)
 
 
 LINE_SQL = r"""

@@ -90,3 +90,18 @@ def test_nulls_repeats_and_columns(docs_of):
     rows = out.collect()
     assert sorted(bytes(r.decoded).decode() for r in rows) == ["", "", "x y", "x y", "x y"]
     assert bpe.encode(docs_of([]), FILE, public_tokenizers.PATTERN).count() == 0
+
+
+def test_little_memory_and_one_pass(spark, library, ranks, monkeypatch, documents):
+    """A codec that forgets all the time, and both ways in one pass, give the library's ids."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 2000)
+    with open(FILE, "rb") as file:
+        codec = bpe.Codec(file.read(), public_tokenizers.PATTERN)
+    for text in TEXTS * 2:
+        ids = codec.encode(text)
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode_ordinary(text)
+    assert codec.held < 2000 + 300 * max(len(set(codec.pieces(t))) for t in TEXTS)
+    rows = bpe.round_trip(documents.limit(20), FILE, public_tokenizers.PATTERN).collect()
+    for r in rows:
+        assert list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids)) == library.encode_ordinary(r.text)
+        assert r.decoded == r.text.encode()
