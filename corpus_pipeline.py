@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiolens.llm import bpe
-from radiolens.llm.catalog import MIX, PATTERN, TOXIC, VOCABULARY
+from radiolens.llm.catalog import MIX, PATTERN, SIMHASH, TOXIC, VOCABULARY
 from radiolens.llm.common import Stages, table
 from radiolens.llm.lines import dedup_lines
 from radiolens.llm.mixing import mixed_documents
@@ -29,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; among them, one of those left without text."""
-    return one_of_each(docs, shingle=5, budget=3)
+    return one_of_each(docs, **SIMHASH)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its token ids (packed unsigned 32-bit), their number, and whether decoding gives the text back."""
-    rows = bpe.decode(bpe.encode(docs, **VOCABULARY, **PATTERN), **VOCABULARY)
+    rows = bpe.round_trip(docs, **VOCABULARY, **PATTERN)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return rows.select("doc_id", "lang", "source", bpe.n_tokens("ids").alias("n_tokens"), "ids", same.alias("round_trip"))
 
