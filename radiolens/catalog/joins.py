@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from radiolens.catalog.base import CELL, LOG, SESSION, check, rounded
+from radiolens.catalog.base import CELL, LOG, SESSION, SHORT, check, rounded
 from radiolens.operators import asof, cells, clean, features
 
 TOLERANCE = 7200.0  # the fixture's samples are minutes apart
@@ -50,7 +52,7 @@ def _(t):
     """No key at all: the merged log is split into chunks, not sent to one task."""
     radio, throughput = clean.split_streams(t.lte_raw)
     right = throughput.select("ts", "event_id", "rlc_dl")
-    return asof.asof_nearest(radio.select("event_id", "ts"), right, "ts", 600.0).drop("ts")
+    return asof.asof_nearest(radio.select("event_id", "ts"), right, "ts", 600.0, chunk_rows=SHORT).drop("ts")
 
 
 @check("asof_join_clean", ASOF_SQL + """select distinct l.* exclude (ts), j.rlc_dl from l
@@ -102,7 +104,7 @@ def _(t):
        ("lte_raw",))
 def _(t):
     """One log without sessions: lags and means run along the whole log, chunk by chunk."""
-    return rounded(coverage_rows(t, LOG).select(*COVERAGE_COLUMNS))
+    return rounded(coverage_rows(t, replace(LOG, chunk_rows=SHORT)).select(*COVERAGE_COLUMNS))
 
 
 @check("attach_cell_stats", """

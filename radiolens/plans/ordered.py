@@ -6,13 +6,14 @@ row order therefore goes through this module. The log is cut into chunks along i
 chunk receives what it needs from the chunks before it:
 
 * a partial sum (``running_total``, ``position``) or the last value seen (``carry``): any borders
-  do, so they come from a sketch of the first order column, the chunk is a column expression, and
-  the rows are shuffled once;
+  do, so they come from a sample of the whole order tuple, the chunk is found in them by binary
+  search inside a column expression, and the rows are shuffled once;
 * the last few rows (``windowed``): chunks must hold enough rows, so one range sort numbers the rows
   and the number cuts the log into chunks of equal row count whatever the key distribution is.
 
-No size decides about the plan. ``plan="keyed"`` asks for a plain window per key, for logs whose keys
-are known to be small.
+The number of chunks follows from the number of rows alone, one for every ``chunk_rows`` of them, without an
+upper limit; a log of one chunk has nothing to hand on. ``plan="keyed"`` asks for a plain window per
+key, for logs whose keys are known to be small.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ HOME = "_log_home"
 CHUNK = "_log_chunk"
 BORDERS = "_log_borders"
 CHUNK_ROWS = 1 << 18
-CHUNKS = 256  # chunks by a sketch; ties in the first order column share one
+SAMPLED = 32  # rows of the sample for each chunk
 
 
 @dataclass(frozen=True)
@@ -86,15 +87,37 @@ def prepared(df: DataFrame, order: LogOrder) -> DataFrame:
     return index_log(df, order) if order.splits(df) else df
 
 
-def _chunked(df: DataFrame, order: LogOrder) -> tuple[DataFrame, tuple[str, ...]]:
-    """``df`` with its chunk, which never falls along the order of a key, and the order columns inside it."""
+def _chunked(df: DataFrame, order: LogOrder) -> tuple[DataFrame, tuple[str, ...]] | None:
+    """``df`` with its chunk, which never falls along the order of a key, and the order columns inside it; None for one chunk.
+
+    A row is in the sample by a hash of its key and order columns, so the borders do not depend on partitions. Rows that
+    share the first order columns, NULL ones too, are parted by the others. One task sorts the sample, 32 tuples a chunk.
+    """
     if order.index in df.columns:
         return df.withColumn(CHUNK, F.floor(F.col(order.index) / order.chunk_rows)), (order.index,)
-    first = F.col(order.by[0])
-    shares = [F.lit(i / CHUNKS) for i in range(1, CHUNKS)]
-    borders = df.agg(F.percentile_approx(first, F.array(*shares), F.lit(100 * CHUNKS))).scalar()
-    at = F.size(F.filter(BORDERS, lambda b: b < first))
-    chunk = F.when(first.isNull(), F.lit(-1)).otherwise(at).cast("bigint")  # NULL sorts first
+    rows = df.count()
+    chunks = rows // order.chunk_rows + 1
+    if chunks == 1:
+        return None
+    spread = F.pmod(F.xxhash64(*order.keys, *order.by), F.lit(1 << 40))
+    place = F.struct(*order.by)
+    taken = df.where(spread < int(min(1.0, SAMPLED * chunks / rows) * (1 << 40)))
+    ordered = taken.agg(F.sort_array(F.collect_list(place)).alias("s"))
+    at = F.sequence(F.lit(1), F.lit(chunks - 1))
+    borders = ordered.select(
+        F.filter(F.transform(at, lambda i: F.get("s", F.floor(i * F.size("s") / chunks).cast("int"))), lambda b: b.isNotNull())
+    ).scalar()
+
+    def halved(span: Column, _: Column) -> Column:
+        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        left = place < F.get(BORDERS, middle)
+        return F.when(span["lo"] >= span["hi"], span).when(
+            left, F.struct(span["lo"].alias("lo"), middle.alias("hi"))
+        ).otherwise(F.struct((middle + 1).alias("lo"), span["hi"].alias("hi")))
+
+    whole = F.struct(F.lit(0).alias("lo"), F.size(BORDERS).alias("hi"))
+    steps = F.sequence(F.lit(0), F.lit(chunks.bit_length()))
+    chunk = F.aggregate(steps, whole, halved, lambda span: span["lo"].cast("bigint"))
     return df.withColumn(BORDERS, borders).withColumn(CHUNK, chunk).drop(BORDERS), order.by
 
 
@@ -144,11 +167,12 @@ def position(df: DataFrame, order: LogOrder, out: str) -> DataFrame:
 def running_total(df: DataFrame, order: LogOrder, totals: dict[str, str]) -> DataFrame:
     """Add ``out = sum(column)`` from the start of the key to the current row, inclusive."""
     upto = (Window.unboundedPreceding, Window.currentRow)
-    if not order.splits(df):
+    cut = _chunked(df, order) if order.splits(df) else None
+    if cut is None:
         spec = order.window().rowsBetween(*upto)
         return df.withColumns({out: F.sum(c).over(spec) for out, c in totals.items()})
     names = [*order.keys, CHUNK]
-    chunked, by = _chunked(df, order)
+    chunked, by = cut
     parts = chunked.groupBy(*names).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in totals.items()])
     before = Window.partitionBy(*order.keys).orderBy(CHUNK).rowsBetween(  # a row per chunk
         Window.unboundedPreceding, -1
@@ -176,11 +200,12 @@ def carry(df: DataFrame, order: LogOrder, column: str, out: dict[str, bool]) ->
             spec.rowsBetween(Window.unboundedPreceding, upto)
         )
 
-    if not order.splits(df):
+    cut = _chunked(df, order) if order.splits(df) else None
+    if cut is None:
         keys, by = list(order.keys), list(order.by)
         return df.withColumns({o: seen(keys, by, b, 0) for o, b in out.items()})
     names = [*order.keys, CHUNK]
-    chunked, by = _chunked(df, order)
+    chunked, by = cut
     known = F.when(F.col(column).isNotNull(), F.struct(*by))
     outside = None
     for back in sorted(set(out.values())):

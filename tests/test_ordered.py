@@ -120,3 +120,31 @@ def test_quantiles_equal_numpy(spark, seed):
             for p in probs:
                 key = None if pd.isna(cell) else int(cell)
                 assert got[(key, p)] == pytest.approx(np.quantile(part["v"], p), abs=1e-9)
+
+
+def test_chunks_of_ties(spark):
+    """One time for nearly all rows, NULL for others: chunks are cut by the id, none above twice the mean."""
+    from radiolens.plans.ordered import CHUNK, _chunked
+
+    n = 400_000
+    df = spark.range(n).selectExpr("id", "case when id % 10 = 0 then null when id % 10 < 9 then 5 else id end as t")
+    cut, by = _chunked(df, LogOrder(("t", "id"), chunk_rows=10_000))
+    sizes = cut.groupBy(CHUNK).count().collect()
+    assert by == ("t", "id") and len(sizes) == n // 10_000 + 1
+    assert max(r["count"] for r in sizes) <= 2 * n / len(sizes)
+    edges = cut.groupBy(CHUNK).agg(F.min(F.struct("t", "id")).alias("a"), F.max(F.struct("t", "id")).alias("b")).orderBy(CHUNK).collect()
+    key = lambda x: (x.t is not None, x.t or 0, x.id)
+    assert all(key(p.b) < key(q.a) for p, q in zip(edges, edges[1:]))
+    order = LogOrder(("t", "id"), chunk_rows=10_000)
+    placed = position(df, order, "place")
+    assert placed.agg(F.min("place"), F.max("place"), F.count_distinct("place")).first() == (0, n - 1, n)
+
+
+def test_number_of_chunks_follows_the_rows(spark):
+    from radiolens.plans.ordered import CHUNK, _chunked
+
+    for n, size in ((100, 101), (100, 7), (5, 1)):
+        cut = _chunked(spark.range(n).selectExpr("id", "id as t"), LogOrder(("t", "id"), chunk_rows=size))
+        assert (cut is None) == (n < size)
+        if cut:
+            assert cut[0].select(CHUNK).distinct().count() <= n // size + 1
