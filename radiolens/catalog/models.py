@@ -246,19 +246,23 @@ def _(t):
     return table.select("task", "model", "n", "positives", right.alias("counted"))
 
 
-@check("cross_validate", HANDOVER + """select task, model, true as bounded, true as spread from (select distinct task from tl), ms""", ("umts",))
+@check("cross_validate", HANDOVER + """select task, model, true as bounded, true as spread, true as learned from (select distinct task from tl), ms""", ("umts",))
 def _(t):
-    """Five folds of the three models on both tasks, oversampled inside the folds; means lie in [0, 1]."""
-    parts = []
+    """Five folds of the three models on both tasks, scaled and oversampled inside the folds: means lie in [0, 1], and
+    every model ranks and finds far better than chance (an area of 0.8, a recall of 0.6) on rows that it has not seen."""
     table = handover_table(t)
-    for task in train.HANDOVER_TASKS:
+
+    def one(task):
         rows = table.withColumn("y_true", F.col(task).cast("double"))
-        rows = materialize(split.stratified_folds(split.standard_scale(rows, rows, UMTS_FEATURES), task, "event_id"))
-        parts.append(train.cross_validate(rows, UMTS_FEATURES, train.handover_models(rows.count()), task, rebalance=True))
+        rows = materialize(split.stratified_folds(rows, task, "event_id"))
+        return train.cross_validate(rows, UMTS_FEATURES, train.handover_models(rows.count()), task, rebalance=True)
+
+    parts = train.side_by_side(t.spark, [lambda task=task: one(task) for task in train.HANDOVER_TASKS])
     rows = parts[0].unionByName(parts[1])
     bounded = [F.col(f"cv_{c}").between(0, 1) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")]
     return rows.select("task", "model", (bounded[0] & bounded[1] & bounded[2] & bounded[3] & bounded[4]).alias("bounded"),
-                       (F.col("cv_recall_std").between(0, 0.5) & F.col("cv_roc_auc_std").between(0, 0.5)).alias("spread"))
+                       (F.col("cv_recall_std").between(0, 0.5) & F.col("cv_roc_auc_std").between(0, 0.5)).alias("spread"),
+                       ((F.col("cv_roc_auc") >= 0.8) & (F.col("cv_recall") >= 0.6)).alias("learned"))
 
 
 @check("score", COVERED + "select event_id, 1.0::double as total, true as likeliest, true as sure from covered", ("lte_raw",))

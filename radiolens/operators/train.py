@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -17,14 +18,16 @@ from pyspark.sql import functions as F
 
 from radiolens.functions.scalar import encode_alphabetical
 from radiolens.operators.evaluate import fold_means, optimize_threshold
-from radiolens.operators.resample import smote, smote_tomek
+from radiolens.operators.resample import smote, smote_folds, smote_tomek
 from radiolens.operators.split import class_weights, feature_stats, impute_median, standard_scale
+from radiolens.plans import lockstep
 from radiolens.plans.quantiles import exact_quantiles
 from radiolens.plans.stage import materialize
 
 UMTS_TASKS = {"qos_degradee": "f1", "congestion_probable": "recall", "panne_probable": "recall"}
 HANDOVER_TASKS = ("interference", "handover_needed")
 THREADS = 4
+BINS = 32  # of a feature, in trees of all folds
 
 
 @dataclass(frozen=True)
@@ -108,7 +111,7 @@ def handover_models(n_rows: int, sizes: TreeSizes = TreeSizes(), seed: int = 42)
     }
 
 
-def _run(spark: SparkSession, jobs: Sequence[Callable]) -> list:
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable]) -> list:
     """Independent fits side by side: each one alone leaves executors idle between its stages."""
     with ThreadPoolExecutor(THREADS) as pool:
         return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
@@ -176,7 +179,7 @@ def train_umts_tasks(
         for name, model in umts_models(n_rows, sizes, seed).items():
             names.append((task, name))
             jobs.append(lambda m=model, x=matrix: assembled(features, m).fit(x))
-    models = dict(zip(names, _run(rows.sparkSession, jobs)))
+    models = dict(zip(names, side_by_side(rows.sparkSession, jobs)))
     unseen = ready.where(F.col("split") != "train")
     parts = [
         positive_probability(model.transform(unseen)).select(
@@ -223,7 +226,7 @@ def train_handover_tasks(
         for name, model in handover_models(matrix.count(), sizes, seed).items():
             names.append((task, name))
             jobs.append(lambda m=model, x=matrix: assembled(features, m).fit(x))
-    models = dict(zip(names, _run(rows.sparkSession, jobs)))
+    models = dict(zip(names, side_by_side(rows.sparkSession, jobs)))
     parts = [
         positive_probability(model.transform(tests[task])).select(
             F.lit(task).alias("task"), F.lit(name).alias("model"), id, *keep, F.col("y_true").cast("int").alias("y_true"),
@@ -234,34 +237,102 @@ def train_handover_tasks(
     return Fitted(materialize(reduce(lambda a, b: a.unionByName(b), parts)), stored)
 
 
+def fold_table(
+    rows: DataFrame, features: Sequence[str], k: int, id: str, rebalance: bool = True, seed: int = 42, near: int = 5,
+) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Rows (y_true, fold, made_for, mask, key, features..) that all folds train on, and each fold's mean and spread.
+
+    Features are in units of the whole table's spread, in which oversampling measures distances; labels take no part in
+    that. The means and spreads are those of a fold's training rows: sums per fold, the left-out fold subtracted.
+    """
+    scaled = materialize(standard_scale(rows, rows, features).select(id, "y_true", "fold", *features))
+    table = scaled.select("y_true", "fold", F.lit(None).cast("int").alias("made_for"), F.xxhash64(id).alias("key"), *features)
+    if rebalance:
+        made = smote_folds(scaled, features, "y_true", id, "fold", k, near, seed)
+        key = F.xxhash64("parent", "turn", "made_for")
+        table = table.unionByName(made.select("y_true", F.lit(None).cast("int").alias("fold"), "made_for", key.alias("key"), *features))
+    table = materialize(table.withColumn("mask", lockstep.bit_mask(F.col("fold"), F.col("made_for"), k).cast("bigint")))
+    sums = [F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in features for n, f in (("s", F.sum), ("q", lambda c: F.sum(F.col(c) * F.col(c))))]]
+    parts = np.zeros((k, 1 + 2 * len(features)))
+    for r in scaled.groupBy("fold").agg(*sums).collect():  # a row per fold
+        parts[r[0]] = [float(x or 0) for x in r[1:]]
+    training = parts.sum(axis=0) - parts
+    n = np.maximum(training[:, :1], 1)
+    mean = training[:, 1::2] / n
+    spread = np.sqrt(np.maximum(training[:, 2::2] / n - mean**2, 0))
+    return table, mean, np.where(spread > 1e-12, spread, 1.0)
+
+
 def out_of_fold(
-    rows: DataFrame, features: Sequence[str], estimator: Estimator, k: int = 5, id: str = "event_id",
+    rows: DataFrame, features: Sequence[str], estimators: Mapping[str, Estimator], k: int = 5, id: str = "event_id",
     rebalance: bool = False, seed: int = 42,
 ) -> DataFrame:
-    """Predictions of every row by the model that did not see its ``fold``.
+    """(model, id, fold, y_true, y_proba, y_pred): every row scored by the models that did not see its ``fold``.
 
-    With ``rebalance`` the oversampling happens inside each fold's training rows, so no synthetic
-    neighbor of a test row is trained on.
+    With ``rebalance`` the oversampling stays inside each fold's training rows, and scaling is fitted there as well.
+    Logistic regressions and boosted trees of all folds are fitted together, pass by pass over one table; forests too,
+    tree by tree in tasks, while a task can hold the table. Other estimators are fitted one fold at a time.
     """
-    def one(i: int) -> DataFrame:
-        part = rows.where(F.col("fold") != i)
-        matrix = oversampled(part, features, id, seed=seed) if rebalance else part
-        model = assembled(features, estimator).fit(matrix)
-        return positive_probability(model.transform(rows.where(F.col("fold") == i))).select(
-            id, "fold", F.col("y_true").cast("int").alias("y_true"), "y_proba",
-            F.col("prediction").cast("int").alias("y_pred"))
-
-    parts = _run(rows.sparkSession, [lambda i=i: one(i) for i in range(k)])
+    table, mean, spread = fold_table(rows, features, k, id, rebalance, seed)
+    stats = {r["feature"]: (r["mean"], r["std"]) for r in feature_stats(rows, features).collect()}  # a row per feature
+    held = rows.select(
+        id, "fold", F.col("y_true").cast("int").alias("y_true"),
+        *[((F.col(c).cast("double") - stats[c][0]) / (stats[c][1] if stats[c][1] > 0 else 1.0)).alias(c) for c in features])
+    held = materialize(held)
+    borders = lockstep.bin_borders(table, features, BINS)
+    small = table.count() <= lockstep.SMALL
+    parts, jobs, slow = [], [], []
+    for name, model in estimators.items():
+        if isinstance(model, LogisticRegression) and not model.isDefined("weightCol"):
+            beta = lockstep.newton(table, features, k, model.getRegParam(), scale=(mean, spread))
+            score = lambda x, i, b=beta: ((x - mean[i]) / spread[i]) @ b[i][:-1] + b[i][-1]
+            parts.append(_scored(held, features, id, score).withColumn("model", F.lit(name)))
+        elif isinstance(model, GBTClassifier) and not model.isDefined("weightCol"):
+            how = lockstep.Boosting(
+                model.getMaxIter(), model.getMaxDepth(), model.getStepSize(), model.getSubsamplingRate(),
+                model.getMinInstancesPerNode(), BINS, model.getSeed())
+            trees = lockstep.boost(table, features, k, borders, how)
+            score = lambda x, i, t=trees, b=borders: 2 * t[i].margins(lockstep.binned(x, b))
+            parts.append(_scored(held, features, id, score).withColumn("model", F.lit(name)))
+        elif isinstance(model, RandomForestClassifier) and not model.isDefined("weightCol") and small:
+            how = lockstep.Forest(model.getNumTrees(), model.getMaxDepth(), model.getMinInstancesPerNode(), BINS, model.getSeed())
+            shares = lockstep.forest_scores(table, held, features, k, borders, id, how)
+            parts.append(held.select(id, "fold", "y_true").join(shares, id).withColumns(
+                {"y_pred": (F.col("y_proba") > 0.5).cast("int"), "model": F.lit(name)}))
+        else:
+            slow += [(name, i) for i in range(k)]
+            jobs += [lambda m=model, i=i: assembled(features, m).fit(_training(table, i)) for i in range(k)]
+    for (name, i), fitted in zip(slow, side_by_side(rows.sparkSession, jobs)):
+        scored = positive_probability(fitted.transform(held.where(F.col("fold") == i)))
+        parts.append(scored.select(id, "fold", "y_true", "y_proba", F.col("prediction").cast("int").alias("y_pred"), F.lit(name).alias("model")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _training(table: DataFrame, i: int) -> DataFrame:
+    own = table.where(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0)
+    return own.repartition(max(table.rdd.getNumPartitions(), table.sparkSession.sparkContext.defaultParallelism), "key")
+
+
+def _scored(held: DataFrame, features: Sequence[str], id: str, score: Callable) -> DataFrame:
+    """Probabilities from the margins that ``score`` gives rows of a fold."""
+    names, kind = list(features), dict(held.dtypes)[id]
+
+    def scored(batches):
+        for b in batches:
+            x, fold = b[names].to_numpy(np.float64), b["fold"].to_numpy()
+            margin = np.zeros(len(b))
+            for i in np.unique(fold):
+                margin[fold == i] = score(x[fold == i], int(i))
+            p = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
+            yield b[[id, "fold", "y_true"]].assign(y_proba=p, y_pred=(p > 0.5).astype("int32"))
+
+    return held.mapInPandas(scored, f"{id} {kind}, fold int, y_true int, y_proba double, y_pred int")
+
+
 def cross_validate(
     rows: DataFrame, features: Sequence[str], estimators: Mapping[str, Estimator], task: str, k: int = 5,
     id: str = "event_id", rebalance: bool = False,
 ) -> DataFrame:
     """Mean fold metrics per model (std for recall and area)."""
-    parts = [
-        out_of_fold(rows, features, model, k, id, rebalance).withColumns({"task": F.lit(task), "model": F.lit(name)})
-        for name, model in estimators.items()
-    ]
-    return fold_means(reduce(lambda a, b: a.unionByName(b), parts))
+    scored = out_of_fold(rows, features, estimators, k, id, rebalance)
+    return fold_means(materialize(scored.withColumn("task", F.lit(task))))

@@ -116,7 +116,7 @@ def fitted(spark):
 
 def test_out_of_fold_covers_each_row_once(spark, fitted):
     df, model = fitted
-    rows = train.out_of_fold(df, ["a", "b", "c"], model, 3, rebalance=True).collect()
+    rows = train.out_of_fold(df, ["a", "b", "c"], {"RandomForest": model}, 3, rebalance=True).collect()
     assert sorted(r["event_id"] for r in rows) == list(range(400))
     table = train.cross_validate(df, ["a", "b", "c"], {"RandomForest": model}, "t", 3)
     assert table.first()["cv_roc_auc"] > 0.9

@@ -10,7 +10,7 @@ from tests.conftest import SMALL
 from tools.verify import normal
 
 # fits of whole model families take minutes; tests/test_models.py covers them in smaller form
-LONG = {"train_coverage", "train_umts_tasks", "train_handover_tasks", "cross_validate", "stream_score"}
+LONG = {"train_coverage", "train_umts_tasks", "train_handover_tasks", "stream_score"}
 
 
 @pytest.fixture(scope="module")
