@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from radiolens.operators.clean import ZONE_ORDER
 from radiolens.plans.ordered import LogOrder, windowed
-from radiolens.plans.quantiles import exact_quantiles, quantile_columns, value_counts_long
+from radiolens.plans.quantiles import exact_quantiles, quantile_columns
 
 
 def _rows_from_one(df: DataFrame, structs: Sequence[Column]) -> DataFrame:
@@ -60,7 +60,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def describe_all(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, unique, top, freq, mean, std, min, quartiles, max per column.
 
-    Distinct values are counted once for all columns; quartiles come from the same counts.
+    Distinct values are counted once for all columns; quartiles come by radix selection.
     """
     columns = list(columns or df.columns)
     types = dict(df.dtypes)
@@ -175,13 +175,13 @@ def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     """Quartiles, whiskers at the last value within 1.5 IQR, and the outlier count, per class."""
     boxes = quantile_columns(df, column, QUARTILES, [by]).withColumnRenamed(by, "_by")
     reach = (F.col("q75") - F.col("q25")) * 1.5
-    counted = value_counts_long(df, [column], [by])
-    joined = counted.join(boxes, F.col(by).eqNullSafe(F.col("_by")), "inner")
+    known = df.select(by, F.col(column).cast("double").alias("value")).where(F.col("value").isNotNull())
+    joined = known.join(boxes, F.col(by).eqNullSafe(F.col("_by")), "inner")
     inside = F.col("value").between(F.col("q25") - reach, F.col("q75") + reach)
     return joined.groupBy(by, "q25", "median", "q75").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
-        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),
+        F.count_if(~inside).alias("outliers"),
     )
 
 
