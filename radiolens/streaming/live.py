@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -172,10 +171,16 @@ def stream_dedup(sdf: DataFrame, keys: Sequence[str], watermark: str = "1 hour",
 
 
 def drain(sdf: DataFrame, path: str) -> DataFrame:
-    """Process what is there, append it to a table at ``path`` and return the stored rows."""
+    """Process what is there, append it to a table at ``path`` and return the stored rows.
+
+    The progress log and the state lie under ``path``, out of sight of readers. A query that is drained
+    into the same path again, after new files or after a failure, goes on where it stopped; a batch that was
+    stored but not confirmed is not stored twice, because the table lists its files by batch. The state of
+    windows and cells that are still open is kept between drains.
+    """
     query = (
         sdf.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", f"{path}-log-{uuid.uuid4().hex}")
+        .option("checkpointLocation", f"{path}/_progress")
         .trigger(availableNow=True)
         .start(path)
     )
