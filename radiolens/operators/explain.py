@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from radiolens.operators.resample import feature_array
 from radiolens.plans.ordered import LogOrder, position
+from radiolens.plans.shuffle import permuted
 from radiolens.plans.stage import materialize
 
 
@@ -28,18 +29,17 @@ def permutation_importance(
 ) -> DataFrame:
     """(feature, importance, spread): mean fall of F1 when one column is shuffled.
 
-    The rows are numbered once in hash order; repeat ``r`` pairs each row with the one a seeded
-    distance further along that order, which shuffles all columns alike.  One join gives the donors
-    of all repeats and one aggregation the F1 of every (feature, repeat).
+    The rows are numbered once. In every repeat a seeded permutation of the numbers says from which row
+    a row takes the shuffled value; all columns share it. One join gives the donors of all repeats and one
+    aggregation the F1 of every (feature, repeat).
     """
     base = df.select(F.col(id).alias("id"), F.col(label).cast("int").alias("y"), feature_array(features).alias("x"))
-    hashed = base.withColumn("_hash", F.xxhash64("id", F.lit(seed)))
-    placed = materialize(position(hashed, LogOrder(by=("_hash", "id")), "place").drop("_hash"))
+    placed = materialize(position(base, LogOrder(by=("id",)), "place"))
     total = placed.agg(F.count(F.lit(1)).alias("n")).scalar()
-    shift = F.pmod(F.xxhash64("repeat", F.lit(seed)), F.greatest(total - 1, F.lit(1))) + 1
-    donors = placed.select(
-        F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"), F.col("place").alias("_from"), F.col("x").alias("other")
-    ).select("repeat", "other", F.pmod(F.col("_from") + shift, total).alias("place"))
+    numbered = placed.select("place", "x", total.alias("_total"))
+    donors = numbered.select(
+        F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"), "_total", F.col("place").alias("_from"), F.col("x").alias("other")
+    ).select("repeat", "other", permuted(F.col("_from"), F.col("_total"), F.xxhash64("repeat", F.lit(seed))).alias("place"))
     paired = placed.join(donors, "place", "inner")
     columns = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(c).alias("feature")) for i, c in enumerate(features)])
     swapped = paired.select("y", "x", "other", "repeat", F.inline(columns)).select(
