@@ -147,6 +147,11 @@ def coverage_model(t):
     return train.train_coverage_forest(coverage_table(t), COVERAGE_FEATURES)
 
 
+def found_share(least: float):
+    """Whether at least this share of a zone's rows is predicted as that zone."""
+    return F.avg((F.col("predicted_class") == F.col("coverage_zone")).cast("int")) >= least
+
+
 @check("train_coverage", COVERED_ZONES + """select coverage_zone, floor(n * 0.2::double + 0.5)::bigint as n, true as known, true as sure
   from (select coverage_zone, count(*) as n from zones group by 1)""", ("lte_raw",))
 def _(t):
@@ -297,19 +302,21 @@ def _(t):
         F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("gap"), F.count_if(F.col("x") != F.col("y")).alias("changed"))
 
 
-@check("load_model", COVERED + "select event_id, true as known, true as sure from covered", ("lte_raw",))
+@check("load_model", COVERED_ZONES + "select coverage_zone, count(*) as n, true as learned, true as sure from zones group by coverage_zone", ("lte_raw",))
 def _(t):
-    """Scores of every row by a model that was stored and loaded."""
+    """Scores of every row by a model that was stored and loaded: of each zone it finds 95 % of the rows or more."""
     _, _, loaded, meta = stored_and_loaded(t)
     rows = score.score(loaded, coverage_table(t), meta["labels"])
-    return rows.select("event_id", F.col("predicted_class").isin(meta["labels"]).alias("known"), F.col("confidence").between(0, 100).alias("sure"))
+    return rows.groupBy("coverage_zone").agg(
+        F.count(F.lit(1)).alias("n"), found_share(0.95).alias("learned"), F.every(F.col("confidence").between(0, 100)).alias("sure"))
 
 
 @check("validation_vectors", COVERED + f"""select unnest({[*['coverage'] * 4, *['qos'] * 4]}) as kind,
-  unnest({[s[0] for s in (*score.COVERAGE_SAMPLES, *score.QOS_SAMPLES)]}) as expected, true as known, true as sure, true as compared
-  from (select 1 from covered limit 1)""", ("lte_raw",))
+  unnest({[s[0] for s in (*score.COVERAGE_SAMPLES, *score.QOS_SAMPLES)]}) as expected, true as known, true as sure, true as compared,
+  unnest([true, true, true, true, null, null, null, null]) as met from (select 1 from covered limit 1)""", ("lte_raw",))
 def _(t):
-    """The known rows of both kinds, each with a class of its model; the quality model learns the guideline's classes."""
+    """The known rows of both kinds, each with a class of its model: those of coverage get the expected zone, the
+    quality model learns the guideline's classes."""
     rows = coverage_table(t)
     model, names = coverage_model(t)
     guided = rules.qos_guideline_class(rows)
@@ -320,7 +327,8 @@ def _(t):
         table = score.validation_vectors(m, samples, labels_)
         parts.append(table.select(
             F.lit(kind).alias("kind"), "expected", F.col("got").isin(labels_).alias("known"), F.col("confidence").between(0, 100).alias("sure"),
-            (F.col("matches") == (F.col("got") == F.col("expected"))).alias("compared")))
+            (F.col("matches") == (F.col("got") == F.col("expected"))).alias("compared"),
+            (F.col("matches") if kind == "coverage" else F.lit(None).cast("boolean")).alias("met")))
     return parts[0].unionByName(parts[1])
 
 
