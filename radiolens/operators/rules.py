@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from radiolens.functions.numbers import flag
 from radiolens.operators.features import in_cell, rolling_std
 from radiolens.operators.labels import persist
-from radiolens.plans.ordered import LogOrder, prepared, running_total, windowed
+from radiolens.plans.ordered import LogOrder, carry, prepared, running_total, windowed
 
 # Lower bounds of the level and quality bands ("above" for the first one).
 RSCP_BANDS = (("Excellent", -75.0), ("Good", -85.0), ("Fair", -95.0), ("Poor", -110.0), ("Critical", None))
@@ -209,13 +209,19 @@ def duration_alarms(
 
 def ping_pong(df: DataFrame, order: LogOrder, cell: str = "pci", id: str = "event_id") -> DataFrame:
     """Serving changes that return to the cell before: A -> B -> A."""
-    changed = windowed(df, order, 1, lambda w: {"_before": F.lag(cell, 1).over(w), "_had": F.lag(F.lit(1), 1).over(w)})
-    visits = changed.where(F.col("_had").isNull() | ~F.col(cell).eqNullSafe(F.col("_before")))
-    back = windowed(
-        visits.drop("_before", "_had"), order, 2,
-        lambda w: {"via": F.lag(cell, 1).over(w), "back_to": F.lag(cell, 2).over(w)},
-    )
-    return back.where(F.col("back_to") == F.col(cell)).select(*order.keys, id, cell, "via")
+    # the cell before last is the one left at the change before: noted on the row after that change and carried on
+    def last_two(w):
+        one, two = F.lag(cell, 1).over(w), F.lag(cell, 2).over(w)
+        return {
+            "via": one,
+            "_changed": F.lag(F.lit(True), 1).over(w).isNotNull() & ~F.col(cell).eqNullSafe(one),
+            "_came": F.when(F.lag(F.lit(True), 2).over(w).isNotNull() & ~one.eqNullSafe(two), F.struct(two.alias("cell"))),
+        }
+
+    told = windowed(df, order, 2, last_two).where(F.col("_changed") | F.col("_came").isNotNull())
+    carried = carry(told, order, "_came", {"_left": True})
+    back = carried.where(F.col("_changed") & (F.col("_left")["cell"] == F.col(cell)))
+    return back.select(*order.keys, id, cell, "via")
 
 
 def weekly_top_cells(

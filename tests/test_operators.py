@@ -203,6 +203,24 @@ def test_ping_pong(spark):
     assert [(r["event_id"], r["pci"], r["via"]) for r in got] == [(4, 371, 370), (6, 371, 372)]
 
 
+def test_ping_pong_across_chunks(spark):
+    """Long stays, gaps in the cell and borders of chunks anywhere."""
+    rng = np.random.default_rng(8)
+    cells = [None if c == 3 else int(c) for c in np.repeat(rng.integers(0, 4, 60), rng.integers(1, 6, 60))]
+    df = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=i), i % 2, c) for i, c in enumerate(cells)],
+                               "event_id bigint, ts timestamp, session_id int, pci int")
+    want = []
+    for session in (0, 1):
+        visits = []
+        for i, c in enumerate(cells):
+            if i % 2 == session and (not visits or visits[-1][1] != c):
+                visits.append((i, c))
+        want += [(i, c, via) for (_, a), (_, via), (i, c) in zip(visits, visits[1:], visits[2:]) if c is not None and a == c]
+    order = LogOrder(("ts", "event_id"), ("session_id",), chunk_rows=7, plan="chunked")
+    got = rules.ping_pong(df, order).collect()
+    assert sorted((r["event_id"], r["pci"], r["via"]) for r in got) == sorted(want) and len(want) > 5
+
+
 def test_duration_alarm_needs_more_than_the_limit(spark):
     df = umts(spark, [(1, -80.0, -15.0, None)] * 61 + [(1, -80.0, -5.0, None)] + [(1, -80.0, -15.0, None)] * 62)
     got = rules.duration_alarms(df, F.col("ecn0") < -14, 60, CELL).collect()
