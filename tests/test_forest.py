@@ -1,0 +1,23 @@
+"""Forests whose trees are fitted some at a time."""
+
+import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.sql import functions as F
+
+from radiolens.operators import train
+
+
+def test_trees_fitted_apart_are_one_forest(spark, tmp_path):
+    rows = spark.range(600).select(
+        F.col("id").alias("event_id"), (F.col("id") % 30).cast("double").alias("a"), F.rand(3).alias("b"), F.lit(1.0).alias("weight"),
+        F.floor(F.col("id") % 30 / 10).cast("double").alias("y_true")).localCheckpoint()
+    forest = RandomForestClassifier(numTrees=7, maxDepth=4, labelCol="y_true", weightCol="weight", seed=5)
+    model = train.fit_forest(forest, rows, ["a", "b"], small=100, together=3)
+    assert len({t.toDebugString.split(":", 1)[1] for t in model.stages[-1].trees}) == model.stages[-1].getNumTrees == 7
+    assert model.stages[-1].featureImportances.toArray().sum() == pytest.approx(1.0)
+    scored = model.transform(rows)
+    assert scored.where("prediction = y_true").count() >= 590
+    model.write().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m")).transform(rows).withColumnRenamed("probability", "p").select("event_id", "p")
+    assert scored.join(again, "event_id").where("probability = p").count() == 600
