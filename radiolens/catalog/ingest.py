@@ -136,9 +136,9 @@ def _(t):
 def _(t):
     """One file per document in a folder tree; the relative path names the document."""
     path = scratch_path(t.spark, "documents")
-    t.documents.select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    documents.write_documents(t.documents, path, "doc_id")
     rows = documents.read_documents(t.spark, path, "*.txt")
-    number = F.regexp_extract("source", r"^knowledge_base/doc_id=(\d+)/", 1).cast("bigint")
+    number = F.regexp_extract("source", r"^knowledge_base/(?:.*/)?doc_id=(\d+)[./]", 1).cast("bigint")
     return rows.select(number.alias("doc_id"), "type", "text")
 
 

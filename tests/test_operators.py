@@ -247,6 +247,20 @@ def test_read_documents(spark, tmp_path):
     assert got == {"knowledge_base/a/x.md": "one\ntwo", "knowledge_base/a/b/x.md": "deux é"}
 
 
+def test_documents_written_and_read(spark, tmp_path):
+    """One file per id in few folders; lines, accents and empty texts come back, rows of one id share its file."""
+    texts = {i: f"é {i}\nend" for i in range(50)} | {50: "", 51: None}
+    rows = spark.createDataFrame([*texts.items(), (7, "more")], "doc_id bigint, text string").coalesce(1)
+    for root in (str(tmp_path / "a"), (tmp_path / "b").as_uri(), "file:" + str(tmp_path / "c d")):
+        documents.write_documents(rows, root, "doc_id", folder=10)
+        got = documents.read_documents(spark, root, "*.txt").collect()
+        found = {int(r["source"].rsplit("=", 1)[1].removesuffix(".txt")): r["text"] for r in got}
+        assert len(got) == 52 and sorted(found.pop(7).split("\n")) == sorted(["é 7", "end", "more", ""])
+        assert found == {i: (t or "") + "\n" for i, t in texts.items() if i != 7}
+    folders = [p for p in (tmp_path / "a").rglob("*") if p.is_dir()]
+    assert len(folders) <= 6 and not [p for p in (tmp_path / "a").rglob(".*")]
+
+
 def test_read_log_encodings(spark, tmp_path):
     text = "Time;Zone\n10:00:00.1;Très bonne\n"
     for name, encoding in (("u", "utf-8"), ("s", "utf-8-sig"), ("l", "latin1")):
