@@ -136,6 +136,29 @@ def test_score_and_importance(spark, fitted):
     assert permuted["a"] > 0.3 and abs(permuted["b"]) < 0.2 and set(permuted) == {"a", "b", "c"}
 
 
+def test_margins_of_a_regression_fall_as_its_vectors(spark, fitted, monkeypatch):
+    """Moving margins and scoring a vector for each pair and feature give the same falls, an endless value included."""
+    df, _ = fitted
+    df = df.withColumn("flat", F.lit(1.0))
+    names = ["a", "b", "flat", "c"]
+    pipe = train.assembled(names, train.handover_models(400)["LogisticRegression"]).fit(df)
+    odd = df.withColumn("b", F.when(F.col("event_id") % 50 == 0, float("inf")).otherwise(F.col("b")))
+    scored = []
+    monkeypatch.setattr(explain, "array_to_vector", lambda x, f=explain.array_to_vector: scored.append(x) or f(x))
+    for share in (0.5, 0.3):
+        pipe.stages[-1].setThreshold(share)
+        for rows in (df, odd):
+            scored.clear()
+            moved = sorted(map(tuple, explain.permutation_importance(pipe, rows, names, repeats=3).collect()))
+            assert not scored
+            with monkeypatch.context() as m:
+                m.setattr(explain, "_linear", lambda _: False)
+                whole = sorted(map(tuple, explain.permutation_importance(pipe, rows, names, repeats=3).collect()))
+            assert [r[0] for r in moved] == sorted(names) and moved[0][1] > 0.2
+            assert [v for r in moved for v in r[1:]] == pytest.approx([v for r in whole for v in r[1:]], abs=1e-12)
+            assert ("flat", 0.0, 0.0) in moved
+
+
 def test_umts_tasks(spark, fitted):
     df, _ = fitted
     df = df.withColumns({"qos_degradee": F.col("y"), "split": F.when(F.col("event_id") < 280, "train")

@@ -1,7 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from radiolens.plans.shuffle import permuted
+from radiolens.plans.shuffle import _hashed, permuted
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 17, 26, 901, 40_000])
@@ -18,3 +19,8 @@ def test_true_permutations_that_differ(spark, n):
             assert same < 20 and steps > n / 2
 
 
+def test_hash_is_that_of_spark(spark):
+    rows = spark.range(200).select(F.xxhash64("id").alias("low"), F.xxhash64("id", F.lit(3)).alias("seed"))
+    got = rows.select("low", "seed", F.xxhash64("low", "seed", F.lit(2))).collect()
+    low, seed, wanted = (np.array([r[i] for r in got], np.int64) for i in range(3))
+    assert (_hashed(low, seed, 2) == wanted).all()
