@@ -28,6 +28,8 @@ UMTS_TASKS = {"qos_degradee": "f1", "congestion_probable": "recall", "panne_prob
 HANDOVER_TASKS = ("interference", "handover_needed")
 THREADS = 4
 BINS = 32  # of a feature, in trees of all folds
+#: Rows of a partition in the fit of a large forest, which keeps a draw count for every tree beside each row.
+FIT_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -145,13 +147,24 @@ def train_coverage(
     return whole_pipeline(plain, features, assembled(features, one_vs_rest).fit(matrix)), labels
 
 
+def spread_evenly(matrix: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """Rows in partitions of about ``most``; up to so many rows stay as they are.
+
+    A join with classes parts the rows by class, so a common class would be one task's work in every pass of a fit.
+    """
+    rows = matrix.count()
+    if rows <= most:
+        return matrix
+    return matrix.repartition(max(matrix.rdd.getNumPartitions(), rows // most + 1))
+
+
 def train_coverage_forest(
     train: DataFrame, features: Sequence[str], label: str = "coverage_zone", sizes: TreeSizes = TreeSizes(), seed: int = 42,
 ) -> tuple[PipelineModel, list[str]]:
     """The same task with a forest, whose class probabilities need no normalising."""
     labels = sorted(r[0] for r in train.select(label).distinct().collect())
     coded = encode_alphabetical(train.select(label, *features), label, "y_true")
-    matrix = materialize(class_weights(coded, "y_true"))
+    matrix = spread_evenly(materialize(class_weights(coded, "y_true")))
     forest = RandomForestClassifier(
         numTrees=sizes.umts_trees, maxDepth=sizes.coverage_depth, labelCol="y_true", weightCol="weight", seed=seed)
     return assembled(features, forest).fit(matrix), labels

@@ -159,6 +159,14 @@ def test_margins_of_a_regression_fall_as_its_vectors(spark, fitted, monkeypatch)
             assert ("flat", 0.0, 0.0) in moved
 
 
+def test_rows_of_a_large_fit_are_spread_evenly(spark):
+    """However the rows lie, no partition of a fit holds much more than its share; a small table stays as it is."""
+    rows = spark.range(1000).withColumn("x", F.col("id") % 7).coalesce(1)
+    sizes = train.spread_evenly(rows, 100).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) == 11 and max(r["count"] for r in sizes) < 150 and sum(r["count"] for r in sizes) == 1000
+    assert train.spread_evenly(rows, 1000) is rows
+
+
 def test_umts_tasks(spark, fitted):
     df, _ = fitted
     df = df.withColumns({"qos_degradee": F.col("y"), "split": F.when(F.col("event_id") < 280, "train")
