@@ -1,5 +1,6 @@
 """Splits, neighbors, resampling, fits, explanation and streams."""
 
+import dataclasses
 import datetime as dt
 
 import numpy as np
@@ -8,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from radiolens.operators import explain, resample, retrieve, score, split, train
+from radiolens.plans import lockstep
 from radiolens.plans.neighbors import knn_join, self_knn
 from radiolens.plans.stage import scratch_path
+from radiolens.sources import store
 from radiolens.streaming import live
 
 T0 = dt.datetime(2024, 1, 1)
@@ -177,6 +180,41 @@ def test_umts_tasks(spark, fitted):
     assert got.thresholds.count() == 3 and len(got.models) == 3
 
 
+def test_tree_fits_of_tasks_are_shared_stored_and_explained(spark, fitted, monkeypatch):
+    """No tree is fitted by the library one stage at a time; a stored model scores as before and knows what it looked at."""
+    df, _ = fitted
+    table = df.withColumns({"key": F.xxhash64("event_id"), "weight": F.when(F.col("y") == 1, 2.0).otherwise(0.7)})
+    sizes = train.TreeSizes(umts_trees=20, umts_depth=30, umts_rounds=20, handover_trees=20, handover_rounds=20)
+    models = {**{f"u{n}": m for n, m in train.umts_models(400, sizes).items()}, **train.handover_models(400, sizes)}
+    monkeypatch.setattr(train, "assembled", None)
+    monkeypatch.setattr(lockstep, "SMALL", 0)
+    for name in ("uRandomForest", "uGradientBoosting", "RandomForest", "GradientBoosting"):
+        pipe = train.fit_tasks(table, ["a", "b", "c"], models[name])
+        whole = train.whole_pipeline(df, ["a", "b", "c"], pipe)
+        path = scratch_path(spark, "model")
+        store.save_model(whole, {}, spark, path)
+        again = store.load_model(spark, path)[0]
+        own, other = (train.positive_probability(m.transform(df)).orderBy("event_id").toPandas() for m in (whole, again))
+        assert (own["y_proba"] == other["y_proba"]).all() and own["y_proba"].between(0, 1).all()
+        scored = train.positive_probability(pipe.transform(df)).toPandas()
+        assert ((scored["y_proba"] > 0.5) == (scored["y"] == 1)).mean() > 0.9 and ((scored["y_proba"] > 0.5) == scored["prediction"]).all()
+        found = {r["feature"]: r["importance"] for r in explain.feature_importance(spark, again, ["a", "b", "c"]).collect()}
+        assert sum(found.values()) == pytest.approx(1) and max(found, key=found.get) == "a"
+
+
+def test_nodes_in_parts_and_weights(monkeypatch):
+    """Nodes of a level taken in parts make the same tree; weighting a class as often as repeating its rows does."""
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 32, (600, 4)).astype(np.uint8), rng.integers(0, 2, 600).astype(float)
+    how = lockstep.Forest(depth=10, least=1)
+    grow = lambda w, h: lockstep._tree(x, y, w, h, np.random.default_rng(1))
+    whole = grow(np.ones(600), how)
+    monkeypatch.setattr(lockstep, "NODES", 3)
+    assert all((a == b).all() for a, b in zip(whole, grow(np.ones(600), how)))
+    weighted, repeated = grow(np.ones(600), dataclasses.replace(how, weights=(1.0, 3.0))), grow(np.where(y == 1, 3.0, 1.0), how)
+    assert all(np.allclose(a, b) for a, b in zip(weighted, repeated))
+
+
 def test_boosted_probabilities_sum_to_one(spark, fitted):
     df, _ = fitted
     named = df.withColumn("coverage_zone", F.when(F.col("c") > 1, "C").when(F.col("y") == 1, "A").otherwise("B"))
