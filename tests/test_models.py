@@ -226,6 +226,19 @@ def test_boosted_probabilities_sum_to_one(spark, fitted):
         assert r["predicted_class"] == max(r["probabilities"], key=r["probabilities"].get)
 
 
+def test_stored_zone_trees_score_as_before(spark, fitted):
+    df, _ = fitted
+    named = df.withColumn("coverage_zone", F.when(F.col("c") > 1, "C").when(F.col("y") == 1, "A").otherwise("B"))
+    sizes = train.TreeSizes(coverage_rounds=5, coverage_depth=2)
+    model, names = train.train_coverage(named, ["a", "b", "c"], sizes=sizes, rebalance=True)
+    path = scratch_path(spark, "zones")
+    store.save_model(model, {}, spark, path)
+    again = store.load_model(spark, path)[0]
+    own, other = (score.score(m, named, names).orderBy("event_id").toPandas() for m in (model, again))
+    assert (own["predicted_class"] == other["predicted_class"]).all() and (own["confidence"] == other["confidence"]).all()
+    assert (own["predicted_class"] == own["coverage_zone"]).mean() > 0.85 and own["predicted_class"].nunique() == 3
+
+
 def test_embed_and_topk_plans_agree(spark):
     docs = spark.createDataFrame([(i, f"cell {i % 7} drop {i % 5} neighbor word{i}") for i in range(60)], "chunk_id bigint, text string")
     model = retrieve.embedder(docs, 64)
