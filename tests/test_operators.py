@@ -261,6 +261,22 @@ def test_documents_written_and_read(spark, tmp_path):
     assert len(folders) <= 6 and not [p for p in (tmp_path / "a").rglob(".*")]
 
 
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    """The driver keeps no list of the files; what is read is what Spark's reader finds."""
+    names = ["x.txt", "a/_h.txt", "a/.h.txt", "a/_k=1.txt", "_b/y.txt", "_c=2/y.txt", "d/e/f/g é%20.txt", "d/n.md", "d/empty.txt"]
+    for i, name in enumerate(names):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else b"\xef\xbb\xbfone\r\ntwo \xff %d" % i)
+    (tmp_path / "none").mkdir()
+    got = documents.read_documents(spark, str(tmp_path), "*.txt")
+    assert not [f for f in got.inputFiles() if f.endswith(".txt")]
+    theirs = spark.read.text(str(tmp_path), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
+    place = F.substring_index(F.url_decode("_metadata.file_path"), str(tmp_path) + "/", -1)
+    want = theirs.select(F.concat(F.lit("knowledge_base/"), place), F.hex(F.encode("value", "UTF-8"))).collect()
+    assert sorted(map(tuple, got.select("source", F.hex(F.encode("text", "UTF-8"))).collect())) == sorted(map(tuple, want))
+    assert documents.read_documents(spark, str(tmp_path / "none"), "*.txt").count() == 0
+
+
 def test_read_log_encodings(spark, tmp_path):
     text = "Time;Zone\n10:00:00.1;Très bonne\n"
     for name, encoding in (("u", "utf-8"), ("s", "utf-8-sig"), ("l", "latin1")):
